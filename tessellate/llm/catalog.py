@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .mixing import op9_source_mixing
 from .piecewise import op2_piecewise_fingerprint
 from .repetition import op1_suffix_repetition
+from .simhash import op3_simhash_trie
+from .substrings import op7_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_piecewise_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_piecewise_fingerprint, op3_simhash_trie, op7_substring_dedup, op9_source_mixing)}
 
 SQL: dict[str, str] = {}

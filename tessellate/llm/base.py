@@ -76,14 +76,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts have about limit bytes at most."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with as many rows at most, whose texts have about limit bytes at most."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(sizes):
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
+            end = min(start + rows, max(start + 1, int(np.searchsorted(sizes, before + limit, "right"))))
             yield batch.slice(start, end - start)
             start = end
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from .language import op5_language_centroids
+from .licences import op4_licence_sentences
 from .mixing import op9_source_mixing
 from .piecewise import op2_piecewise_fingerprint
+from .quality import op6_quality_gam
 from .repetition import op1_suffix_repetition
+from .segmentation import op8_shared_prefix_viterbi
 from .simhash import op3_simhash_trie
 from .substrings import op7_substring_dedup
+from .toxicity import op10_toxicity_counterfactual
 
-QUERIES = {f.__name__: f for f in (op1_suffix_repetition, op2_piecewise_fingerprint, op3_simhash_trie, op7_substring_dedup, op9_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_repetition, op2_piecewise_fingerprint, op3_simhash_trie, op4_licence_sentences, op5_language_centroids, op6_quality_gam,
+        op7_substring_dedup, op8_shared_prefix_viterbi, op9_source_mixing, op10_toxicity_counterfactual,
+    )
+}
 
 SQL: dict[str, str] = {}

@@ -267,6 +267,41 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, base.written(spans, "spans")
 
 
+def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array) -> np.ndarray:
+    """Which bytes go, by whole contexts and starts of single windows."""
+    change = np.zeros(len(data) + 1, np.int32)
+    for column, shape in ((marks, _unpack), (starts, lambda s: (None, s, s))):
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        _, first, last = shape(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        start = np.repeat(at[:-1], lengths)
+        np.add.at(change, start + first, 1)
+        np.add.at(change, start + last + LENGTH, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """docs with the bytes under repeated strings cut out of text (what is no longer UTF-8 at a cut is left out too) and, if
+    there, n_chars counted anew."""
+    _, spans = repeated_spans(docs)
+    names, schema = docs.columns, docs.schema
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in base.steps(batches):
+            data, at = base.utf8(part.column("text"))
+            gone = _gone(data, at, part.column("_t_marks"), part.column("_t_starts"))
+            kept = [x.decode("utf-8", "ignore") for x in base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))]
+            columns = list(part.columns[: len(names)])
+            columns[text] = pa.array(kept, pa.string())
+            if chars >= 0:
+                columns[chars] = pa.array([len(x) for x in kept], pa.int64()).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    marked = spans.select(F.col("r").alias("_t_r"), F.col("marks").alias("_t_marks"), F.col("starts").alias("_t_starts"))
+    placed = docs.join(marked.hint("shuffle_hash"), F.xxhash64("doc_id", "text") == F.col("_t_r"), "left")
+    return placed.select(*[F.col(f"`{c}`") for c in names], "_t_marks", "_t_starts").mapInArrow(run, schema)
+
+
 def cut(docs: DataFrame, spans_of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row per row of docs: r, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text)."""
     rows, spans = spans_of or repeated_spans(docs)
@@ -274,14 +309,7 @@ def cut(docs: DataFrame, spans_of: tuple[DataFrame, DataFrame] | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
             data, at = base.utf8(part.column(2))
-            change = np.zeros(len(data) + 1, np.int32)
-            for column, shape in ((part.column(3), _unpack), (part.column(4), lambda s: (None, s, s))):
-                lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                _, first, last = shape(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                start = np.repeat(at[:-1], lengths)
-                np.add.at(change, start + first, 1)
-                np.add.at(change, start + last + LENGTH, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = _gone(data, at, part.column(3), part.column(4))
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             heads = at[:-1][np.diff(at) > 0]

@@ -5,13 +5,258 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .config import Retrieval
+from .functions import text as T
+from .operators import conversation, graph, retrieval, traffic
+from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+WORDS = r"regexp_extract_all(lower(text), '\p{L}+')"
+TF = f"tokens AS (SELECT doc_id, unnest({WORDS}) AS token FROM documents), tf AS (SELECT doc_id, token, count(*) AS tf FROM tokens GROUP BY ALL)"
+BM25 = rf"""{TF}, dl AS (SELECT doc_id, len({WORDS}) AS dl FROM documents),
+c AS (SELECT count(*) AS n, floor(avg(dl) * 10000 + 0.5) / 10000 AS avgdl FROM dl),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({WORDS}) AS token FROM benchmark),
+asked AS (SELECT query_id, count(*) AS asked FROM q GROUP BY 1),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+raw AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) AS raw, count(*) AS terms
+  FROM q JOIN df USING (token) JOIN tf USING (token) JOIN dl USING (doc_id), c GROUP BY ALL),
+scored AS (SELECT query_id, doc_id, floor(raw * 10000 + 0.5) / 10000 AS score, terms FROM raw JOIN asked USING (query_id) WHERE terms >= least(3, asked)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+VIEWS = """v AS (SELECT event_id, user_id, ts, CAST(ts + INTERVAL 8 HOURS AS DATE) AS day, event_type AS site,
+'/' || coalesce(json_extract_string(props, '$.k'), '') AS path, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS visitor FROM events)"""
+LINKS = "links AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
+EDGES = f"{LINKS}, edges AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM links WHERE src <> dst)"
+DEGREE = f"{EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.bm25(table(spark, d, "documents"), asked, Retrieval())
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, score, CAST(terms AS BIGINT) AS terms, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 12")
+def bm25_topk(spark, d):
+    return retrieval.best(_bm25(spark, d), 12)
+
+
+@query(f"WITH {BM25} SELECT query_id, CAST(count(*) AS BIGINT) AS candidates FROM scored WHERE score >= 18.0 GROUP BY 1")
+def bm25_min_match_threshold(spark, d):
+    return _bm25(spark, d).filter(F.col("score") >= Retrieval().min_score).groupBy("query_id").agg(F.count("*").alias("candidates"))
+
+
+@query(f"""WITH {BM25}, hits AS (SELECT ranked.*, source, text FROM ranked JOIN documents USING (doc_id) WHERE rank <= 60),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY rank) AS h FROM hits),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS g FROM a WHERE h = 1),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM b WHERE g <= 4)
+SELECT query_id, doc_id, source, score, CAST(position AS INTEGER) AS position FROM c2 WHERE position <= 12""")
+def topk_dedup_group_cap(spark, d):
+    hits = retrieval.best(_bm25(spark, d), 60).join(table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    return retrieval.capped(hits, 12, 4).select("query_id", "doc_id", "source", "score", "position")
+
+
+@query(f"WITH {TF} SELECT doc_id, token, CAST(tf AS BIGINT) AS tf FROM tf")
+def term_frequency(spark, d):
+    return retrieval.postings(table(spark, d, "documents"))
+
+
+@query(f"WITH {TF} SELECT token, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2")
+def document_frequency_pruned(spark, d):
+    return retrieval.document_frequency(retrieval.postings(table(spark, d, "documents")))
+
+
+@query(f"WITH {TF}, df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2) SELECT token, doc_id, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df FROM tf JOIN df USING (token)")
+def postings(spark, d):
+    posts = retrieval.postings(table(spark, d, "documents"))
+    return posts.join(retrieval.document_frequency(posts), "token").select("token", "doc_id", "tf", "df")
+
+
+@query(f"WITH dl AS (SELECT len({WORDS}) AS dl FROM documents) SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(dl) AS BIGINT) AS tokens, floor(avg(dl) * 100 + 0.5) / 100 AS avg_length FROM dl")
+def doc_length_stats(spark, d):
+    return retrieval.lengths(table(spark, d, "documents")).agg(F.count("*").alias("docs"), F.sum("dl").alias("tokens"), T.two_places(F.avg("dl")).alias("avg_length"))
+
+
+@query("SELECT coalesce(source, '(all)') AS source, CAST(count(*) AS BIGINT) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(floor(avg(length(text)) + 0.5) AS BIGINT) AS mean_chars FROM documents GROUP BY ROLLUP (source)")
+def chunk_stats_by_source(spark, d):
+    rows = table(spark, d, "documents").withColumn("z", F.length("text"))
+    return rows.rollup("source").agg(F.count("*").alias("chunks"), F.sum("z").alias("chars"), F.floor(F.avg("z") + 0.5).alias("mean_chars")).withColumn("source", F.coalesce("source", F.lit("(all)")))
+
+
+@query("SELECT sha256(text) AS digest, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 1")
+def content_dedup_sha(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("""WITH h AS (SELECT source AS grp, doc_id, CAST(length(text) + length(source) + 12 AS BIGINT) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
+s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY grp ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT grp, doc_id, CAST(rank AS INTEGER) AS rank, size, CAST(least(size, 30000 - before) AS BIGINT) AS kept FROM s WHERE before < 30000""")
+def context_budget_pack(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("grp"), "doc_id", (F.length("text") + F.length("source") + 12).cast("long").alias("size"))
+    return retrieval.packed(rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))), 30_000)
+
+
+@query(r"""SELECT source, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS BIGINT) AS emails,
+CAST(count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS documents FROM documents GROUP BY 1""")
+def pii_scan(spark, d):
+    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+    return table(spark, d, "documents").withColumn("n", F.regexp_count("text", F.lit(mail))).groupBy("source").agg(F.sum("n").alias("emails"), F.count_if(F.col("n") > 0).alias("documents"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g')) AS digest FROM documents")
+def pii_redact_email(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"), 256).alias("digest"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, regexp_replace(text, '[\s#*>`_~\[\]()|-]+', '', 'g') AS t FROM documents)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS bare_chars, length(t) >= 100 AND length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.4 * length(t) AS readable FROM x""")
+def readability_filter(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[\s#*>`_~\[\]()|-]+", "").alias("t"))
+    return x.select("doc_id", F.length("t").alias("bare_chars"), ((F.length("t") >= 100) & (F.length(F.regexp_replace("t", r"[^\p{L}]", "")) >= 0.4 * F.length("t"))).alias("readable"))
+
+
+@query("SELECT source, CAST(count(*) AS BIGINT) AS files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY 1")
+def manifest_totals(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("total_bytes"))
+
+
+@query("WITH e AS (SELECT 'src' || i AS source FROM range(0, 25) t(i)) SELECT source, 'missing' AS problem FROM e WHERE source NOT IN (SELECT source FROM documents) UNION ALL SELECT DISTINCT source, 'extra' FROM documents WHERE source NOT IN (SELECT source FROM e)")
+def expected_set_diff(spark, d):
+    expected = spark.range(25).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))
+    found = table(spark, d, "documents").select("source").distinct()
+    return expected.join(found, "source", "left_anti").withColumn("problem", F.lit("missing")).unionByName(found.join(expected, "source", "left_anti").withColumn("problem", F.lit("extra")))
+
+
+def _views(spark, d):
+    return traffic.visits(table(spark, d, "events"))
+
+
+@query(f"WITH {VIEWS} SELECT day, site, CAST(count(*) AS BIGINT) AS pv, CAST(least(count(DISTINCT visitor), 5000) AS BIGINT) AS uv FROM v GROUP BY 1, 2")
+def daily_pv_uv(spark, d):
+    return traffic.daily(_views(spark, d))
+
+
+@query(f"WITH {VIEWS}, x AS (SELECT day, site, count(*) AS pv, least(count(DISTINCT visitor), 5000) AS uv FROM v GROUP BY 1, 2) SELECT day, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(uv) AS BIGINT) AS uv, CAST(count(*) AS BIGINT) AS sites FROM x GROUP BY 1")
+def daily_report_totals(spark, d):
+    return traffic.daily(_views(spark, d)).groupBy("day").agg(F.sum("pv").alias("pv"), F.sum("uv").alias("uv"), F.count("*").alias("sites"))
+
+
+@query(f"WITH {VIEWS}, x AS (SELECT *, row_number() OVER (PARTITION BY day, site ORDER BY ts DESC, event_id DESC) AS n FROM v) SELECT day, site, path FROM x WHERE n = 1")
+def last_path(spark, d):
+    return traffic.last_path(_views(spark, d))
+
+
+@query(f"WITH {VIEWS}, x AS (SELECT *, lag(path) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM v) SELECT event_id, user_id, path FROM x WHERE before IS NULL OR before <> path")
+def consecutive_path_suppression(spark, d):
+    return traffic.changed_paths(_views(spark, d)).select("event_id", "user_id", "path")
+
+
+SLIDING = """x AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(ts AS DATE) AS day FROM events),
+y AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window, row_number() OVER (PARTITION BY user_id, day ORDER BY ms, event_id) AS in_day FROM x)"""
+
+
+@query(f"WITH {SLIDING} SELECT event_id, user_id, CAST(in_window AS BIGINT) AS in_window, CAST(in_day AS BIGINT) AS in_day, CASE WHEN in_day > 20 THEN 'daily_limit' WHEN in_window > 6 THEN 'minute_limit' ELSE 'ok' END AS verdict FROM y")
+def sliding_rate_limit(spark, d):
+    return traffic.sliding(table(spark, d, "events")).select("event_id", "user_id", "in_window", "in_day", "verdict")
+
+
+@query()
+def first_hit_fixed_window(spark, d):
+    return traffic.anchored(table(spark, d, "events"))
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN role = 'bot' THEN 'assistant' ELSE role END AS r FROM conversations),
+b AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM r),
+e AS (SELECT conv_id, turn, CASE WHEN NOT coalesce(r IN ('user', 'assistant'), false) THEN 'illegal_role' WHEN trim(coalesce(text, '')) = '' THEN 'empty_content' WHEN length(text) > 2000 THEN 'content_too_long' WHEN before = r THEN 'non_alternating' END AS e FROM b)
+SELECT conv_id, arg_min(e, turn) FILTER (WHERE e IS NOT NULL) AS error FROM e GROUP BY 1""")
+def history_validate(spark, d):
+    return conversation.validated(table(spark, d, "conversations"))
+
+
+@query("WITH x AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS from_end FROM conversations) SELECT conv_id, turn, role, CAST(from_end AS INTEGER) AS from_end FROM x WHERE from_end <= 6")
+def history_tail_n(spark, d):
+    return conversation.tail(table(spark, d, "conversations"), 6).select("conv_id", "turn", "role", "from_end")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, text, CASE WHEN role = 'bot' THEN 'assistant' ELSE role END AS role FROM conversations),
+g AS (SELECT * FROM r WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''),
+n AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS new FROM g),
+u AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM n),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY CASE WHEN role = 'user' THEN turn ELSE -turn END) AS i FROM u) WHERE i = 1),
+f AS (SELECT *, min(CASE WHEN role = 'user' THEN run END) OVER (PARTITION BY conv_id) AS first, max(CASE WHEN role = 'assistant' THEN run END) OVER (PARTITION BY conv_id) AS last FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM f WHERE run >= first AND run <= last)
+SELECT conv_id, turn, role, text FROM t WHERE z <= 12""")
+def history_repair(spark, d):
+    return conversation.repaired(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, substr(arg_min(text, turn) FILTER (WHERE role = 'user'), 1, 30) AS title, substr(arg_max(text, turn) FILTER (WHERE role = 'assistant'), 1, 50) AS preview, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def session_summary(spark, d):
+    return conversation.summary(table(spark, d, "conversations"))
+
+
+def _links(spark, d):
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+
+
+@query(f"WITH {EDGES} SELECT a, b FROM edges")
+def edges_undirected(spark, d):
+    return graph.undirected(_links(spark, d))
+
+
+@query(f"WITH {DEGREE} SELECT node, CAST(degree AS BIGINT) AS degree FROM d")
+def degree(spark, d):
+    return graph.degree(graph.undirected(_links(spark, d)))
+
+
+@query(f"WITH {LINKS}, nodes AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_size > 10) SELECT src, dst FROM links WHERE dst NOT IN (SELECT node FROM nodes)")
+def dangling_links(spark, d):
+    nodes = table(spark, d, "part").filter("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return graph.dangling(_links(spark, d), nodes)
+
+
+@query(f"""WITH {DEGREE}, n AS (SELECT 's' || s_suppkey AS node, s_suppkey <= 5 AS explicit FROM supplier), r AS (SELECT node, explicit, coalesce(degree, 0) AS degree FROM n LEFT JOIN d USING (node))
+SELECT node, explicit, CAST(degree AS BIGINT) AS degree FROM (SELECT *, row_number() OVER (PARTITION BY explicit ORDER BY degree DESC, node) AS i FROM r) WHERE explicit OR (degree >= 5 AND i <= 20 - (SELECT count(*) FROM n WHERE explicit))""")
+def core_tier(spark, d):
+    nodes = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), (F.col("s_suppkey") <= 5).alias("explicit"))
+    return graph.core_tier(nodes, graph.degree(graph.undirected(_links(spark, d))))
+
+
+@query("""WITH x AS (SELECT p_partkey AS node, p_name AS title, instr(lower(p_name), 'widget') - 1 AS pos FROM part)
+SELECT node, title, CAST(CASE WHEN lower(title) = 'widget' THEN 1000 WHEN pos = 0 THEN 800 ELSE 600 - least(pos, 40) END AS BIGINT) AS score FROM x WHERE pos >= 0 ORDER BY score DESC, title, node LIMIT 8""")
+def title_search_rank(spark, d):
+    return graph.search(table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("title")), "widget")
+
+
+@query("SELECT coalesce(r_name, '其他') AS layer, CAST(count(*) AS BIGINT) AS items FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def layer_grouping(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return rows.groupBy(F.coalesce("r_name", F.lit("其他")).alias("layer")).agg(F.count("*").alias("items"))
+
+
+@query("SELECT doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END) AS missing FROM documents LEFT JOIN labels USING (doc_id)")
+def required_fields(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.concat_ws(",", *(F.when(F.col(c).isNull(), c) for c in ("quality", "toxic"))).alias("missing"))

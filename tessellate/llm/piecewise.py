@@ -35,7 +35,7 @@ def rolling(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(data)
     wide = data.astype(np.uint32)
     total, shifted = wide * np.uint32(WINDOW), wide.copy()
-    for j in range(1, WINDOW):
+    for j in range(1, min(WINDOW, n)):
         total[j:] += wide[: n - j] * np.uint32(WINDOW - j)
         shifted[j:] ^= wide[: n - j] << np.uint32(5 * j)
         total[j:] += wide[: n - j]

@@ -78,17 +78,17 @@ def tree(g: np.ndarray, h: np.ndarray, ridge: float = 5.0) -> np.ndarray:
 
 
 def pair_tree(g: np.ndarray, h: np.ndarray, ridge: float = 5.0) -> tuple[np.ndarray, float]:
-    """Values over two bins of a tree that cuts the first and then, in each part, the second; and its gain."""
-    out, total = np.zeros(g.shape), 0.0
-    middle, gain = _cut(g.sum(1), h.sum(1), ridge)
-    total += gain
-    for a, b in ((0, middle), (middle, len(g))):
-        if b > a:
-            inner, gain = _cut(g[a:b].sum(0), h[a:b].sum(0), ridge)
-            total += gain
-            for c, d in ((0, inner), (inner, g.shape[1])):
-                out[a:b, c:d] = -g[a:b, c:d].sum() / (h[a:b, c:d].sum() + ridge)
-    return out, total
+    """Values over two bins of the best tree that cuts the first and then, in each part, the second; and its gain."""
+    best = (-1.0, 0, ())
+    for middle in range(1, len(g)) or (len(g),):  # every first cut: the gain of an interaction shows in the second cuts only
+        parts = [(a, b, *_cut(g[a:b].sum(0), h[a:b].sum(0), ridge)) for a, b in ((0, middle), (middle, len(g))) if b > a]
+        gain = sum(p[3] + g[p[0] : p[1]].sum() ** 2 / (h[p[0] : p[1]].sum() + ridge) for p in parts) - g.sum() ** 2 / (h.sum() + ridge)
+        best = max(best, (gain, middle, tuple(parts)))
+    out = np.zeros(g.shape)
+    for a, b, inner, _ in best[2]:
+        for c, d in ((0, inner), (inner, g.shape[1])):
+            out[a:b, c:d] = -g[a:b, c:d].sum() / (h[a:b, c:d].sum() + ridge)
+    return out, best[0]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> dict:

@@ -31,18 +31,16 @@ from . import base
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 200_000
+CACHE = 400_000
 
 
 #: Stands for a U+2581 that the text itself holds; no valid text has it.
 LITERAL = "\udc00"
-PARTS = re.compile(" +[^ ]*")
+PARTS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def marked_words(text: str) -> list[str]:
-    if not text:
-        return []
-    return [x.replace(" ", MARK) for x in PARTS.findall(" " + text.replace(MARK, LITERAL))]
+    return PARTS.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK)) if text else []
 
 
 def model_kind(model: bytes) -> int:
@@ -89,76 +87,97 @@ class Pieces:
         self.score = {p: (sp.get_score(i), i) for i, p in enumerate(names) if not special[i]}
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.lost = min(s for s, _ in self.score.values()) - 10
-        self.tails = {p[i:] for p in self.score for i in range(len(p))}
+        self.tails = {p[i:]: False for p in self.score for i in range(len(p))} | dict.fromkeys(self.score, True)
         self.by_merges = model_kind(model) == 2
-        self.agreed: dict[tuple[str, str], bool] = {}
+        self.agreed: dict[str, dict[str, bool]] = {}
+        self.held = 0
+        self.reached: dict[str, bool] = {}
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
 
     def encode(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Ids of marked words given in sorted order."""
-        settle = self._last_piece if self.by_merges else self._best_piece
+        settle = self._last_pieces if self.by_merges else self._best_pieces
         best: list[float] = [0.0]
-        step: list[int] = [0]  # for each depth the length of the last piece
+        pieces: list[str] = [""]  # for each depth the last piece
         last = ""
         for word in words:
             k, most = 0, min(len(word), len(last))
             while k < most and word[k] == last[k]:
                 k += 1
-            del best[k + 1 :], step[k + 1 :]
-            for end in range(k + 1, len(word) + 1):
-                settle(word, end, best, step)
+            del best[k + 1 :], pieces[k + 1 :]
+            settle(word, k + 1, best, pieces)
             last = word
             ids: list[int] = []
             end = len(word)
             while end:
-                piece = word[end - step[end] : end]
+                piece = pieces[end]
                 found = self.score.get(piece)
                 if found is None:
                     raw = MARK.encode() if piece == LITERAL else piece.encode("utf-8")
                     ids.extend(self.byte[b] for b in reversed(raw))
                 else:
                     ids.append(found[1])
-                end -= step[end]
+                end -= len(piece)
             ids.reverse()
             yield ids
 
-    def _best_piece(self, word: str, end: int, best: list[float], step: list[int]) -> None:
-        top, size = -1e300, 0
-        for start in range(end - 1, -1, -1):
-            part = word[start:end]
-            if part not in self.tails:
-                break
-            if part in self.score:
-                value = best[start] + self.score[part][0]
-                if value > top:
-                    top, size = value, end - start
-        if word[end - 1] not in self.score and best[end - 1] + self.lost > top:
-            top, size = best[end - 1] + self.lost, 1
-        best.append(top)
-        step.append(size)
-
-    def _last_piece(self, word: str, end: int, best: list[float], step: list[int]) -> None:
-        size = 1
-        for start in range(end - 1, -1, -1):
-            part = word[start:end]
-            if part not in self.tails:
-                break
-            if part in self.score and self._agree(word[start - step[start] : start], part):
-                size = end - start
-        best.append(0.0)
-        step.append(size)
+    def _best_pieces(self, word: str, first: int, best: list[float], pieces: list[str]) -> None:
+        for end in range(first, len(word) + 1):
+            top, how = -1e300, ""
+            for start in range(end - 1, -1, -1):
+                part = word[start:end]
+                whole = self.tails.get(part)
+                if whole is None:
+                    break
+                if whole and best[start] + self.score[part][0] > top:
+                    top, how = best[start] + self.score[part][0], part
+            if word[end - 1] not in self.score and best[end - 1] + self.lost > top:
+                top, how = best[end - 1] + self.lost, word[end - 1]
+            best.append(top)
+            pieces.append(how)
+
+    def _last_pieces(self, word: str, first: int, best: list[float], pieces: list[str]) -> None:
+        tails, agreed = self.tails.get, self.agreed
+        for end in range(first, len(word) + 1):
+            how = word[end - 1]
+            for start in range(end - 1, -1, -1):
+                part = word[start:end]
+                whole = tails(part)
+                if whole is None:
+                    break
+                if whole:
+                    left = pieces[start]
+                    row = agreed.get(left)
+                    fine = row.get(part) if row is not None else None
+                    if fine is None:
+                        fine = self._agree(left, part)
+                    if fine:  # no other piece can end here
+                        how = part
+                        break
+            best.append(0.0)
+            pieces.append(how)
 
     def _agree(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.agreed.get(key)
-        if found is None:
-            if len(self.agreed) >= CACHE:
-                self.agreed.clear()
-            found = self.agreed[key] = self.merged(left + right) == [x for x in key if x]
+        if self.held >= CACHE:
+            self.agreed.clear()
+            self.held = 0
+        self.held += 1
+        both = left + right
+        if left and both in self.score and self._whole(both):
+            found = False
+        else:
+            found = self.merged(both) == [x for x in (left, right) if x]
+        self.agreed.setdefault(left, {})[right] = found
         return found
 
+    def _whole(self, piece: str) -> bool:
+        """Whether a piece's own text is encoded as that piece."""
+        if piece not in self.reached:
+            self.reached[piece] = self.merged(piece) == [piece]
+        return self.reached[piece]
+
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging neighbours, the best score first, the leftmost of equals."""
         parts = list(text)

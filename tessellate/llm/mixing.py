@@ -145,7 +145,7 @@ def taken(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
     placed, sources = _plan(docs, weights, most, block_words, seed)
     times = slots(docs.sparkSession, sources, shards, seed).groupBy("s", "block").agg(F.count("*").alias("times"))
     key = ["doc_id", "size", "s", "source_size", "target", "start"]
-    got = _blocks(placed, block_words).join(times, ["s", "block"], "left")
+    got = _blocks(placed, block_words).join(times.hint("merge"), ["s", "block"], "left")  # grows with the input: never broadcast
     got = got.withColumn("w", F.expr(f"({_overlap(block_words)}) * coalesce(times, 0)")).groupBy(*key).agg(F.sum("w").alias("taken"))
     empty = placed.filter("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
     return got.unionByName(empty).select("doc_id", "size", "source_size", "target", "taken")
@@ -158,7 +158,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int =
     """
     placed, sources = _plan(docs, weights, most, block_words, seed)
     chosen = slots(docs.sparkSession, sources, shards, seed).select("s", "block", "epoch")
-    parts = _blocks(placed, block_words).join(chosen, ["s", "block"])
+    parts = _blocks(placed, block_words).join(chosen.hint("merge"), ["s", "block"])
     span = F.struct(F.col("epoch"), F.expr(f"cast(greatest(start, block * {block_words}) - start as int)").alias("first"), F.expr(f"cast({_overlap(block_words)} as int)").alias("n"))
     # rows that are equal, id included, have equal keys r: the k-th of them gets the spans of the k-th start
     spans = parts.groupBy("r", "start").agg(F.collect_list(span).alias("spans"))

@@ -251,17 +251,19 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base.written(rows.select("r", "text").mapInArrow(find, "r long, at long, core long, context long"), "anchors")
-    cores = found.groupBy("core").count().filter("count > 1").select("core")
+    # counts are written before they are joined: both sides of the join are then plain exchanges, which split where skewed
+    cores = base.written(found.groupBy("core").count().filter("count > 1").select("core"), "cores")
     found = base.written(found.join(cores, "core").select("r", "at", "core", "context"), "anchors-repeated")
     classes = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("r", "at")).alias("one"))
     kinds = classes.groupBy("core").agg(F.count("*").alias("kinds"))
-    marked = found.join(classes, ["core", "context"]).join(kinds, "core")
+    marked = found.join(base.written(classes.join(kinds, "core"), "contexts"), ["core", "context"])
     single = F.col("n") == 1
     marked = marked.select("r", F.struct("at", "core", (~single).alias("whole"), ((F.col("kinds") > 1) & (single | (F.struct("r", "at") == F.col("one")))).alias("windows")).alias("mark")).filter("mark.whole OR mark.windows")
     marks = base.written(marked.groupBy("r").agg(F.collect_list("mark").alias("marks")), "anchors-marked")
     asked = rows.select("r", "text").join(marks.filter("exists(marks, m -> m.windows)").select("r", F.expr("filter(marks, m -> m.windows)").alias("marks")).hint("shuffle_hash"), "r")
     seen = base.written(asked.mapInArrow(windows, "r long, s int, n int, one long, two long"), "windows")
     twice = seen.groupBy("one", "two").agg(F.sum("n").alias("m")).filter("m > 1").select("one", "two")
+    twice = base.written(twice, "windows-repeated")
     starts = seen.filter("n = 1").join(twice, ["one", "two"]).groupBy("r").agg(F.collect_list("s").alias("starts"))
     spans = marks.select("r", F.expr("transform(filter(marks, m -> m.whole), m -> m.at)").alias("marks")).join(starts, "r", "full")
     return rows, base.written(spans, "spans")

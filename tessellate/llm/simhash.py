@@ -2,8 +2,7 @@
 
 Every document gets a 64-bit fingerprint from its word shingles. Equal fingerprints are one class. Class representatives
 are dealt to 4 groups each, one for each 16-bit block of the fingerprint with that block's value: two fingerprints that
-differ in 3 bits or fewer have at least one block alike. A group is a subtree of the binary trie over the fingerprint with
-that block put first. In it the trie is joined with itself: pairs of nodes are traversed together, the bits in which their
+differ in 3 bits or fewer have at least one block alike. Each group has a binary trie, and each trie is joined with itself: pairs of nodes are traversed together, the bits in which their
 paths differ are added up, and a pair is dropped as soon as they exceed the budget. Groups of over HOT members are cut
 further, again without loss: the other 48 bits make 4 sub-blocks of 12, one of which must be alike too (and once more, 4 of
 9 of the remaining 36). Links within a group are kept as a spanning forest, so what leaves a group is linear in its size.
@@ -32,6 +31,8 @@ BUDGET = 3
 HOT = 2_000
 #: Node pairs that the self-join holds at once.
 PAIRS = 1 << 20
+#: A pair of nodes with as many pairs of leaves at most is settled leaf by leaf.
+BUCKET = 16
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -80,29 +81,35 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_links(values: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, of positions in the sorted distinct uint64 values that differ in at most budget bits.
+def trie_links(values: np.ndarray, bounds: np.ndarray | None = None, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of places in values whose fingerprints differ in at most budget bits.
 
-    A trie node is a range of the sorted values with a common path. Pairs of nodes go down one bit at a time, those with the
-    same bit at no cost, those with different bits at a cost of one; pairs over the budget are pruned. A pair of single
-    leaves is settled by its differing bits at once. Held pairs are bounded: what exceeds PAIRS waits on a stack.
+    values: uint64, sorted and distinct between each two bounds: one trie each, all joined with themselves side by side.
+    A trie node is a range of values with a common path. Pairs of nodes go down one bit at a time, those with the same bit
+    at no cost, those with different bits at a cost of one; pairs over the budget are pruned. Small pairs are settled by the
+    differing bits of their leaves. Held pairs are bounded: what exceeds PAIRS waits on a stack.
     """
-    n = len(values)
-    stack = [(0, np.array([[0, n, 0, n]], np.int64), np.zeros(1, np.int64))]
+    bounds = np.array([0, len(values)]) if bounds is None else bounds
+    roots = np.stack([bounds[:-1], bounds[1:]] * 2, 1)[np.diff(bounds) > 1]
+    stack = [(0, roots, np.zeros(len(roots), np.int64))]
     while stack:
         depth, nodes, spent = stack.pop()
         if len(nodes) > PAIRS:
             half = len(nodes) // 2
             stack += [(depth, nodes[:half], spent[:half]), (depth, nodes[half:], spent[half:])]
             continue
-        leaf = (nodes[:, 1] - nodes[:, 0] == 1) & (nodes[:, 3] - nodes[:, 2] == 1)
-        if leaf.any():
-            i, j = nodes[leaf, 0], nodes[leaf, 2]
+        wide = nodes[:, 3] - nodes[:, 2]
+        count = (nodes[:, 1] - nodes[:, 0]) * wide
+        small = (count <= BUCKET) | (depth == 64)
+        if small.any():
+            k = base.concat_ranges(np.zeros(int(small.sum()), np.int64), count[small])
+            of = np.repeat(np.flatnonzero(small), count[small])
+            i, j = nodes[of, 0] + k // wide[of], nodes[of, 2] + k % wide[of]
             near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
             if near.any():
                 yield i[near], j[near]
-            nodes, spent = nodes[~leaf], spent[~leaf]
-        if depth == 64 or not len(nodes):
+            nodes, spent = nodes[~small], spent[~small]
+        if not len(nodes):
             continue
         bit = np.uint64(1) << np.uint64(63 - depth)
         own = nodes[:, 0] == nodes[:, 2]
@@ -130,10 +137,10 @@ def _split(values: np.ndarray, start: np.ndarray, end: np.ndarray, bit: np.uint6
     return lo
 
 
-def forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, root) that connect what trie_links connects: root is the least position of its component."""
+def forest(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, root) that connect what trie_links connects: root is the least place of its component."""
     root = np.arange(len(values))
-    for i, j in trie_links(values):
+    for i, j in trie_links(values, bounds):
         while True:
             a, b = root[i], root[j]
             apart = a != b
@@ -190,20 +197,11 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(keys, fps):
-            values, at = np.concatenate(keys), np.concatenate(fps)
-            edges = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
-            size = np.diff(edges)
-            out = [np.zeros((0, 2), np.int64)]
-            two = edges[:-1][size == 2]  # most groups: one pair of leaves
-            x, y = at[two], at[two + 1] if len(two) else at[two]
-            near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= BUDGET
-            out.append(np.stack([x[near], y[near]], 1))
-            for s, e in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist()):
-                own = np.sort(at[s:e].view(np.uint64))
-                i, j = forest(own)
-                out.append(np.stack([own[i], own[j]], 1).view(np.int64))
-            found = np.concatenate(out)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+            key, fp = np.concatenate(keys), np.concatenate(fps).view(np.uint64)
+            fp = fp[np.lexsort((fp, key))]  # keys come in order already
+            bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            i, j = forest(fp, bounds)
+            return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], ["x", "y"])
 
         keys: list[np.ndarray] = []
         fps: list[np.ndarray] = []

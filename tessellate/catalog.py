@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .config import Retrieval
 from .functions import text as T
-from .operators import conversation, graph, retrieval, traffic
+from .operators import chunking, conversation, feedback, graph, retrieval, traffic
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,3 +260,45 @@ def layer_grouping(spark, d):
 def required_fields(spark, d):
     rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     return rows.select("doc_id", F.concat_ws(",", *(F.when(F.col(c).isNull(), c) for c in ("quality", "toxic"))).alias("missing"))
+
+
+@query()
+def paragraph_chunks(spark, d):
+    return chunking.chunked(table(spark, d, "documents")).select("doc_id", "chunk_index", "content_length", F.sha2("content", 256).alias("digest"))
+
+
+@query(r"""WITH r AS (SELECT event_id, lower(trim(upper(event_type))) AS site, trim('graph/' || json_extract_string(props, '$.k') || ' ') AS p, substr(repeat(CAST(user_id AS VARCHAR), 3), 1, 80) AS vid FROM events)
+SELECT event_id, site, '/' || substr(p, 1, 200) AS path, vid FROM r WHERE site IN ('view', 'click', 'purchase') AND length(vid) >= 8""")
+def page_admission(spark, d):
+    asked = table(spark, d, "events").select("event_id", F.concat(F.lit(" "), F.upper("event_type")).alias("site"), F.concat(F.lit("graph/"), F.get_json_object("props", "$.k"), F.lit(" ")).alias("path"), F.repeat(F.col("user_id").cast("string"), F.lit(3)).alias("vid"))
+    return traffic.admitted(asked, ("view", "click", "purchase"))
+
+
+@query(r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN contains(host, 'example.net') OR host = 'example.com' THEN 'cn' WHEN contains(host, 'example.org') THEN 'overseas' ELSE 'local' END AS site,
+CASE WHEN regexp_extract(url, '#.*$') NOT IN ('', '#', '#/') THEN regexp_extract(url, '#.*$') WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '/' THEN '' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END AS page FROM h""")
+def page_site(spark, d):
+    sites = {"cn": ("example.net", "=example.com"), "overseas": ("example.org",)}
+    return table(spark, d, "pages").select("page_id", T.site_of(F.col("url"), sites, "local").alias("site"), T.short_page(F.col("url")).alias("page"))
+
+
+TRIMMED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, role, {TRIMMED.format("text")} AS c FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN '其他' WHEN role = 'user' THEN 'user' ELSE substr(role, 1, 20) END AS category, c AS content, substr(c, 1, 200) AS contact,
+CASE WHEN c = '' THEN 'content_required' WHEN length(c) > 2000 THEN 'content_too_long' END AS error FROM x""")
+def feedback_validate(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("category"), F.col("text").alias("content"), F.col("text").alias("contact"))
+    return feedback.checked(rows, ("user",)).select("conv_id", "turn", "category", "content", "contact", "error")
+
+
+@query("SELECT doc_id, coalesce(regexp_matches(text, 'contents|Start of picture text') OR length(text) - length(replace(text, '|', '')) >= 12, false) AS structural FROM documents")
+def structural_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.is_structural(F.col("text"), "contents|Start of picture text").alias("structural"))
+
+
+@query(f"WITH {EDGES}, f AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 5) SELECT node, neighbour FROM (SELECT a AS node, b AS neighbour FROM edges UNION ALL SELECT b, a FROM edges) WHERE node IN (SELECT node FROM f)")
+def neighbourhood(spark, d):
+    focus = table(spark, d, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return graph.neighbours(graph.undirected(_links(spark, d)), focus)

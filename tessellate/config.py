@@ -32,3 +32,9 @@ class Limits:
     message_chars: int = 2000
     uv_most: int = 5000
     context_chars: int = 30_000
+
+
+@dataclass(frozen=True)
+class Chunks:
+    least: int = 1200
+    most: int = 2000

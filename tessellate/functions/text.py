@@ -36,6 +36,39 @@ def four_places(x: Column) -> Column:
     return F.floor(x * 10000 + 0.5) / 10000
 
 
+def bare(text: Column) -> Column:
+    """Without white space at the ends; null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+#: An absolute address: host, path, fragment.
+ADDRESS = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)(?:\?[^#]*)?(#.*)?$"
+
+
+def site_of(url: Column, sites: dict[str, tuple[str, ...]], other: str) -> Column:
+    """The first site one of whose marks is in the host of url (a mark that starts with `=` must be the whole host)."""
+    host = F.lower(F.regexp_extract(url, ADDRESS, 1))
+    out = F.lit(other)
+    for site, marks in reversed(sites.items()):
+        found = [host == m[1:] if m.startswith("=") else host.contains(m) for m in marks]
+        out = F.when(F.array_contains(F.array(*found), True), site).otherwise(out)
+    return out
+
+
+def short_page(page: Column) -> Column:
+    """What tells a page: its fragment, or else its path; empty for a start page or what is neither."""
+    p = bare(page)
+    whole = p.rlike(ADDRESS)
+    fragment = F.when(whole, F.regexp_extract(p, ADDRESS, 3)).when(p.startswith("#"), p).otherwise("")
+    path = F.when(whole, F.regexp_extract(p, ADDRESS, 2)).when(p.startswith("/"), p).otherwise("")
+    return F.when(~fragment.isin("", "#", "#/"), fragment).when(whole & (path == "/"), "").otherwise(path)
+
+
+def is_structural(text: Column, marks: str, bars: int = 12) -> Column:
+    """Tables of contents and charts: a vocabulary (a pattern), or as many bars. Null is neither."""
+    return F.coalesce(text.rlike(marks) | (F.regexp_count(text, F.lit("[|]")) >= bars), F.lit(False))
+
+
 def clean_path(path: Column) -> Column:
     """Trimmed, 200 characters at most, with a leading slash."""
     p = F.substring(F.trim(F.coalesce(path, F.lit("/"))), 1, 200)

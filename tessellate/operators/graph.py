@@ -16,6 +16,12 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def neighbours(edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """(node, neighbour) for the nodes of focus (node): what is one undirected edge away."""
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("neighbour")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("neighbour")))
+    return both.join(focus.select("node").distinct(), "node", "left_semi")
+
+
 def dangling(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links whose target is null, unknown or the source itself."""
     known = nodes.select(F.col("node").alias("dst"))

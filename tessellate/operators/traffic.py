@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Limits
+from ..functions.text import bare, clean_path
 
 
 def visits(events: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def visits(events: DataFrame) -> DataFrame:
     )
 
 
+def admitted(requests: DataFrame, sites: Sequence[str]) -> DataFrame:
+    """requests (site, path, vid) of a known site whose visitor id has 8 characters or more; fields cleaned, ids cut to 80."""
+    rows = requests.withColumns({"site": F.lower(bare(F.col("site"))), "path": clean_path(F.col("path")), "vid": F.substring(bare(F.col("vid")), 1, 80)})
+    return rows.filter(F.col("site").isin(*sites) & (F.length("vid") >= 8))
+
+
 def daily(views: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return views.groupBy("day", "site").agg(F.count("*").alias("pv"), F.least(F.countDistinct("visitor"), F.lit(limits.uv_most)).alias("uv"))
 

@@ -4,9 +4,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tessellate.config import Limits
+from tessellate.config import Chunks, Limits
 from tessellate.functions import text as T
-from tessellate.operators import conversation, graph, retrieval, traffic
+from tessellate.operators import chunking, conversation, feedback, graph, retrieval, traffic
 from tessellate.sources import tables
 from tessellate.streaming.counters import daily_views
 
@@ -91,3 +91,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     batch = daily_views(spark.read.parquet(f"{tmp_path}/in"))
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_chunks():
+    small = Chunks(least=6, most=10)
+    assert chunking.chunks("", small) == chunking.chunks(" \n\n ", small) == []
+    assert chunking.chunks("aaa\n\nbbb\n\n\nccc", small) == ["aaa\n\nbbb", "ccc"]
+    assert chunking.chunks("aaaaaaa\n\nbb", small) == ["aaaaaaa\n\nbb"]  # the short end joins
+    assert chunking.chunks("ab\n\n一二三四五。六七八九十！末了。", small) == ["ab", "一二三四五。", "六七八九十！末了。"]
+    assert chunking.chunks("x" * 30, small) == ["x" * 30]  # no sentence end to cut at
+
+
+def test_chunked_table(spark):
+    docs = spark.createDataFrame([(1, "a" * 1500 + "\n\n" + "b" * 1500, 0), (2, None, 0), (3, "", 0)], "doc_id int, text string, chunk_index int")
+    assert [(r.doc_id, r.chunk_index, r.content_length) for r in chunking.chunked(docs).orderBy("chunk_index").collect()] == [(1, 0, 1500), (1, 1, 1500)]
+
+
+def test_short_page(spark):
+    cases = {"https://a.org/x?q=1#/graph": "#/graph", "https://a.org/x#/": "/x", "https://a.org/": "", "https://a.org": "", "#/": "", " #/map ": "#/map", "/p": "/p", "words": "", None: ""}
+    assert {k: one(spark, k, T.short_page) for k in cases} == cases
+
+
+def test_site_of(spark):
+    sites = {"cn": ("cloud.test", "=own.test"), "local": ("=localhost",)}
+    for url, site in {"https://A.Cloud.test:80/x": "cn", "https://own.test/": "cn", "https://not-own.test": "abroad", "http://localhost:8080/": "local", "": "abroad"}.items():
+        assert one(spark, url, lambda c: T.site_of(c, sites, "abroad")) == site
+
+
+def test_feedback(spark):
+    rows = spark.createDataFrame([(1, " \n", None, "p"), (2, "x" * 2001, "bug", "p"), (3, " ok ", "y" * 30, "z" * 600)], "id int, content string, category string, page string")
+    got = feedback.checked(rows, ("bug",)).orderBy("id").collect()
+    assert [r.error for r in got] == ["content_required", "content_too_long", None]
+    assert [r.category for r in got] == ["其他", "bug", "y" * 20]
+    assert (got[2].content, len(got[2].page)) == ("ok", 500)
+
+
+def test_admission(spark):
+    rows = spark.createDataFrame([(" CN ", None, " visitor-1 "), ("cn", "x", "short"), ("else", "x", "visitor-1")], "site string, path string, vid string")
+    assert [tuple(r) for r in traffic.admitted(rows, ("cn",)).collect()] == [("cn", "/", "visitor-1")]

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .config import Retrieval
+from .functions import markdown as M
+from .functions import policy
 from .functions import text as T
-from .operators import chunking, conversation, feedback, graph, retrieval, traffic
+from .operators import chunking, conversation, feedback, graph, limiters, lists, ranking, retrieval, traffic
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,3 +304,124 @@ def structural_chunks(spark, d):
 def neighbourhood(spark, d):
     focus = table(spark, d, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
     return graph.neighbours(graph.undirected(_links(spark, d)), focus)
+
+
+ENDS = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+PLAIN = "text"
+for _mark, _kept in (
+    (r"\*\*([^*]+)\*\*", r"\1"), ("__([^_]+)__", r"\1"), (r"\*([^*\n]+)\*", r"\1"), (r"_([^_\n]+)_", r"\1"), ("`([^`]+)`", r"\1"),
+    (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[-*•]\s+", ""), ("[*#`]", ""), (r"\n{3,}", "\n\n"),
+):
+    PLAIN = f"regexp_replace({PLAIN}, '{_mark}', '{_kept}', 'g')"
+
+
+@query("SELECT doc_id, sha256(" + ENDS.replace("{}", PLAIN) + ") AS digest FROM documents")
+def plain_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(M.plain(F.col("text")), 256).alias("digest"))
+
+
+@query(r"SELECT doc_id, trim(regexp_extract(text, '(?m)^# (.*)$', 1)) AS title, coalesce(nullif(trim(regexp_extract(text, '(?m)^#+\s*(.+)$', 1)), ''), 'note ' || doc_id) AS heading FROM documents")
+def note_titles(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", M.title(text).alias("title"), M.heading(text, F.concat(F.lit("note "), F.col("doc_id").cast("string"))).alias("heading"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '\s', '', 'g'), '[#>*|`-]+', '', 'g') AS t FROM documents)
+SELECT doc_id, length(t) >= 100 AND length(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 0.9 * length(t) AND NOT (contains(text, '机器转换，待校对') AND length(t) < 300)
+AND len(regexp_extract_all(t, '(?:oo|cc|ee|OO|CC|EE){4,}')) <= 5 AND len(regexp_extract_all(t, '[A-Z]{8,}')) <= 20 AS readable FROM w""")
+def note_readable(spark, d):
+    return table(spark, d, "documents").select("doc_id", M.readable(F.col("text"), ratio=0.9, letters="A-Za-z").alias("readable"))
+
+
+@query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS digest FROM pages""")
+def html_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(M.html_escaped(F.col("html")), 256).alias("digest"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) > 180 THEN regexp_replace(substr(text, 1, 180), '[^.!?\n]*$', '') || '…' ELSE text END AS excerpt FROM documents")
+def sentence_excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", M.sentence_cut(F.col("text"), 180, ".!?").alias("excerpt"))
+
+
+@query("""WITH n AS (SELECT item_id, contains(text, 'the') AND contains(text, 'with') AS a, CAST(contains(text, 'der') AS INT) + CAST(contains(text, 'und') AS INT) + CAST(contains(text, 'ist') AS INT) >= 2 AS b FROM benchmark)
+SELECT item_id, CASE WHEN a THEN 'the,with' WHEN b THEN 'der,und,ist' ELSE '' END AS concepts FROM n""")
+def named_concepts(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.concat_ws(",", M.concepts(F.col("text"), [["the", "with"], ["der", "und", "ist"]])).alias("concepts"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, text, list_filter(['heention', 'und', 'the', 'para'], lambda t: contains(text, t))[1] AS t FROM documents), y AS (SELECT *, instr(text, t) - 1 AS p FROM x)
+SELECT doc_id, CASE WHEN text = '' THEN '' WHEN t IS NULL THEN trim(regexp_replace(substr(text, 1, 80), '\n+', ' ', 'g')) || '...' ELSE
+trim(regexp_replace(CASE WHEN p > 40 THEN '...' ELSE '' END || substr(text, greatest(0, p - 40) + 1, least(length(text), p + length(t) + 40) - greatest(0, p - 40)) || CASE WHEN p + length(t) + 40 < length(text) THEN '...' ELSE '' END, '\n+', ' ', 'g')) END AS evidence FROM y""")
+def evidence_snippet(spark, d):
+    tokens = F.array(*map(F.lit, ("heention", "und", "the", "para")))
+    return table(spark, d, "documents").select("doc_id", M.evidence(F.col("text"), tokens).alias("evidence"))
+
+
+@query("""WITH one AS (SELECT p_name AS title, min(p_partkey) AS node FROM part GROUP BY 1), l AS (SELECT s_suppkey, ['none', (SELECT min(p_name) FROM part), (SELECT max(p_name) FROM part)] AS titles FROM supplier),
+e AS (SELECT s_suppkey, unnest(titles) AS title, generate_subscripts(titles, 1) AS place FROM l) SELECT s_suppkey, CAST(place AS INTEGER) AS place, title, node FROM e JOIN one USING (title)""")
+def related_titles(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("node"), F.col("p_partkey").alias("position"))
+    ends = parts.agg(F.min("title").alias("low"), F.max("title").alias("high"))  # one row
+    asked = table(spark, d, "supplier").crossJoin(F.broadcast(ends)).select("s_suppkey", F.array(F.lit("none"), "low", "high").alias("titles"))
+    return graph.resolved(asked, parts).select("s_suppkey", "place", "title", "node")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {WORDS} AS t FROM documents), tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM t) GROUP BY ALL),
+c AS (SELECT count(*) AS n, floor(avg(len(t)) * 100 + 0.5) / 100 AS avgdl FROM t), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+q AS (SELECT item_id AS query_id, list_distinct({WORDS}) AS own, CASE WHEN contains(text, 'the') OR contains(text, 'heention') OR contains(text, 'orer') THEN ['heention', 'orer'] ELSE [] END AS more, contains(text, 'esthe') AS gate FROM benchmark),
+w AS (SELECT query_id, unnest(own) AS token, true AS mine FROM q UNION ALL SELECT query_id, m, false FROM (SELECT query_id, own, unnest(more) AS m FROM q) WHERE NOT list_contains(own, m)),
+s AS (SELECT query_id, doc_id, floor(sum(CASE WHEN mine THEN 1.0 ELSE 0.25 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) * 1e6 + 0.5) / 1e6 AS bm25, count(*) AS matched_terms, count(*) FILTER (WHERE mine) AS own_terms FROM w JOIN df USING (token) JOIN tf USING (token), c GROUP BY ALL),
+h AS (SELECT s.*, gate, own, source, text, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS section FROM s JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE own_terms >= least(3, len(own))),
+f AS (SELECT *, section <> '' AS titled, contains(section || chr(10) || text, 'esthe') AND gate AS named, contains(text, 'error') OR length(text) - length(replace(text, '|', '')) >= 12 AS chart, len(list_filter(own, lambda x: length(x) >= 2 AND contains(section || ' ' || source, x))) AS in_title FROM h),
+r AS (SELECT *, bm25 + least(4.0 * in_title, 16) + CASE WHEN titled THEN 2 ELSE 0 END + CASE WHEN named THEN 10 ELSE 0 END - CASE WHEN chart THEN 50 ELSE 0 END AS raw FROM f WHERE named OR NOT gate),
+k AS (SELECT *, bool_or(NOT chart) OVER (PARTITION BY query_id) AS any_text, bool_or(named AND titled AND NOT chart) OVER (PARTITION BY query_id) AS any_told FROM r WHERE raw >= 3),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY raw DESC, doc_id) AS copy FROM k WHERE NOT (chart AND any_text) AND NOT (any_told AND NOT titled)),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY raw DESC, doc_id) AS i FROM a WHERE copy = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS position FROM g WHERE i <= CASE WHEN any_text THEN 4 ELSE 1 END)
+SELECT query_id, CAST(position AS INTEGER) AS position, doc_id, source, floor(raw * 100 + 0.5) / 100 AS score, CAST(matched_terms AS BIGINT) AS matched_terms FROM z WHERE position <= 12""")
+def note_ranking(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_group"), F.col("source").alias("chunk_title"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("section_title"), F.col("text").alias("content"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    own = ranking.Lexicon(tokens=T.words, topics={"the": ("heention", "orer")}, entities="esthe", spelling=("￿", "￿"), charts="error", chart_query="no such question")
+    found = ranking.ranked(chunks, asked, 12, Retrieval(min_score=3.0), own)
+    return found.select("query_id", "position", F.col("chunk_id").alias("doc_id"), F.col("source_group").alias("source"), "score", "matched_terms")
+
+
+@query()
+def note_ranking_han(spark, d):
+    """Han tokens and the fixed word lists; the tables have no Han texts, the tests have."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_group"), F.col("source").alias("chunk_title"), F.lit("").alias("section_title"), F.col("text").alias("content"))
+    return ranking.ranked(chunks, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+def _requests(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") != "error").alias("ok"))
+
+
+@query()
+def two_window_limit(spark, d):
+    return limiters.limited(_requests(spark, d), limiters.two_windows())
+
+
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, ms, i, ms AS last, true AS ok FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.ms, e.i, CASE WHEN e.ms - f.last < 86400000 THEN f.last ELSE e.ms END, e.ms - f.last >= 86400000 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, event_id, ms, CASE WHEN ok THEN 'ok' ELSE 'too_soon' END AS verdict FROM f""")
+def interval_limit(spark, d):
+    return limiters.limited(_requests(spark, d), limiters.least_interval(86_400_000))
+
+
+@query()
+def circuit_breaker(spark, d):
+    return limiters.limited(_requests(spark, d), limiters.breaker(2, 86_400_000))
+
+
+@query()
+def answer_lists(spark, d):
+    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lists.lists_repaired(F.col("text")).alias("text"))
+
+
+@query()
+def request_policy(spark, d):
+    text = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", policy.request_rule(text)).alias("rule"), ((F.col("role") == "assistant") & policy.answer_stopped(text)).alias("answer_stopped"))

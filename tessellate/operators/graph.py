@@ -53,3 +53,9 @@ def search(titles: DataFrame, query: str, limit: int = 8) -> DataFrame:
 def first_titles(items: DataFrame) -> DataFrame:
     """One row for each title: the least position wins."""
     return items.withColumn("_n", F.row_number().over(Window.partitionBy("title").orderBy("position"))).filter("_n = 1").drop("_n")
+
+
+def resolved(lists: DataFrame, items: DataFrame) -> DataFrame:
+    """Titles of a list column (titles) joined to items (title, position, ...), places kept; unknown titles go, the first of equal items wins."""
+    named = lists.select("*", F.posexplode("titles").alias("place", "title")).drop("titles").withColumn("place", F.col("place") + 1)
+    return named.join(first_titles(items), "title")

@@ -1,0 +1,38 @@
+"""The stateful limiters over a stream: one state per key, dropped when a key has been silent for long."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.limiters import Step
+
+
+def limited_stream(requests: DataFrame, step: Step, silent_ms: int = 7 * 86_400_000, late: str = "1 minute") -> DataFrame:
+    """(k, event_id, ms, verdict) of a stream of requests (user_id, event_id, ms, ok). Order holds within a micro-batch.
+
+    States expire in event time, so an idle stream runs no batches. Null keys are one key, rows without a time are left out.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = tuple(json.loads(state.get[0])) if state.exists else ()
+        rows = pd.concat(list(parts)).sort_values(["ms", "event_id"])
+        found = []
+        for ms, ok in zip(rows.ms, rows.ok):
+            held, verdict = step(held, int(ms), bool(ok))
+            found.append(verdict)
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(int(rows.ms.iloc[-1]), state.getCurrentWatermarkMs()) + silent_ms)
+        yield pd.DataFrame({"k": key[0], "event_id": rows.event_id, "ms": rows.ms, "verdict": found})
+
+    keyed = requests.filter("ms IS NOT NULL").select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("k"), "event_id", "ms", F.coalesce("ok", F.lit(True)).alias("ok"), F.timestamp_millis("ms").alias("at"))
+    marked = keyed.withWatermark("at", late)
+    return marked.groupBy("k").applyInPandasWithState(run, "k string, event_id long, ms long, verdict string", "held string", "append", GroupStateTimeout.EventTimeTimeout)

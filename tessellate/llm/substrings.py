@@ -37,6 +37,10 @@ SPAN = 100
 CORE = LENGTH - SPAN + 1
 #: Window starts that are looked at together; a longer text is looked at in parts.
 PART = 1 << 21
+#: Suffixes that are sorted together. Groups (a core and a place in it) are sorted whole, in as many goes as this asks for.
+SORTED = 1 << 17
+#: Bytes of text in a step of the two passes that look at every window.
+STEP = 1 << 20
 
 _random = np.random.default_rng(20240607)
 BYTES1, BYTES2 = (_random.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2))
@@ -180,19 +184,25 @@ def window_classes(data: np.ndarray, starts: np.ndarray, core: np.ndarray, offse
     core, offset, starts = core[by], offset[by], starts[by]
     new = np.ones(len(by), bool)
     new[1:] = (core[1:] != core[:-1]) | (offset[1:] != offset[:-1])
-    bounds = np.append(np.flatnonzero(new), len(by))
+    heads = np.append(np.flatnonzero(new), len(by))
     one, two = Prefix(data, BYTES1, ODD1), Prefix(data, BYTES2, ODD2)
-    number = np.zeros(len(data) + 1, np.int64)
+    number = np.zeros(len(data) + 1, np.int32)
     number[starts] = by  # a start has one anchor, so one number
-    order = sort_suffixes(data, one, starts, bounds, LENGTH)
-    same = np.zeros(len(order), bool)
-    rows = np.flatnonzero(~new)
-    same[rows] = common_extension(one, order[rows - 1], order[rows], LENGTH) == LENGTH
+    order = np.empty(len(by), np.int64)
+    same = np.zeros(len(by), bool)
     view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    rows = np.flatnonzero(same)
-    for i in range(0, len(rows), 8192):  # verification against collisions of the hash
-        r = rows[i : i + 8192]
-        same[r] = (view[order[r - 1]] == view[order[r]]).all(1)
+    begin = 0
+    while begin < len(heads) - 1:
+        end = max(begin + 1, int(np.searchsorted(heads, heads[begin] + SORTED, "right")) - 1)
+        low, high = heads[begin], heads[end]
+        part = sort_suffixes(data, one, starts[low:high], heads[begin : end + 1] - low, LENGTH)
+        rows = np.flatnonzero(~new[low:high])
+        rows = rows[common_extension(one, part[rows - 1], part[rows], LENGTH) == LENGTH]
+        for i in range(0, len(rows), 8192):  # verification against collisions of the hash
+            r = rows[i : i + 8192]
+            same[low + r] = (view[part[r - 1]] == view[part[r]]).all(1)
+        order[low:high] = part
+        begin = end
     heads = np.flatnonzero(~same)
     spread = np.repeat(heads, np.diff(np.append(heads, len(order))))
     lead = order[spread]
@@ -226,7 +236,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with their key r, (r, marks, starts)): contexts covered whole, and starts of other repeated windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in base.steps(batches):
+        for part in base.steps(batches, limit=STEP):
             data, at = base.utf8(part.column(1))
             owner, anchor, first, last, core, context = anchors(data, at)
             start = at[:-1][owner]
@@ -234,7 +244,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(_pack(anchor - start, first - start, last - start)), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["r", "at", "core", "context"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in base.steps(batches):
+        for part in base.steps(batches, limit=STEP):
             data, at = base.utf8(part.column(1))
             row, packed, core, whole, ask = _fields(part.column(2))
             ask = ask.astype(bool)

@@ -82,8 +82,12 @@ PRIVATE = {
     "email": r"(?U)(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\w.-])",
     "name_label": r"(?U)(患者|病人|患名|姓名|名字|家属|联系人|就诊人|主诉人|主诉患者|首诊患者)[：:\s]+([一-龥]{2,4})",
     "medical_record": r"(?U)(病历号|住院号|门诊号|档案号|病案号|就诊号|保健号|医保号|社保号|卡号)[：:\s]*([A-Za-z0-9\-]{4,30})",
+    "address_full": r"(?U)(?:(?:北京|上海|天津|重庆)(?:市)?[一-龥]{0,10}(?:区|县)|[一-龥]{2,6}(?:省|自治区|特别行政区)[一-龥]{1,10}(?:市|地区|盟|自治州)[一-龥]{0,10}(?:区|县|旗|市)?)[一-龥]{0,30}(?:路|街|巷|弄|村|镇|乡|大道|大街)[一-龥\d]{0,20}(?:号|室|楼|栋|单元)?[\d\-]*",
+    "address_label": r"(?U)(地址|住址|家庭住址|现住址|联系地址|通讯地址|居住地)[：:\s]+([^\n，。；！？,;:!?一-龥]{0,5}[一-龥\d]{4,80})",
 }
-MASK = {"mobile": "[已脱敏手机号]", "id_card": "[已脱敏身份证号]", "email": "[已脱敏邮箱]", "name_label": "$1：[已脱敏姓名]", "medical_record": "$1：[已脱敏病历号]"}
+#: Counted, never masked.
+SCANNED = PRIVATE | {"institution": "[一-龥]{2,15}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)"}
+MASK = {"mobile": "[已脱敏手机号]", "id_card": "[已脱敏身份证号]", "email": "[已脱敏邮箱]", "name_label": "$1：[已脱敏姓名]", "medical_record": "$1：[已脱敏病历号]", "address_full": "[已脱敏地址]", "address_label": "$1：[已脱敏地址]"}
 
 
 def redacted(text: Column) -> Column:
@@ -96,4 +100,27 @@ def redacted(text: Column) -> Column:
 def private_counts(text: Column) -> Column:
     """Matches by pattern, earlier masks left out."""
     bare = F.regexp_replace(text, r"\[已脱敏[^\]]*\]", "")
-    return F.create_map(*(x for name, p in PRIVATE.items() for x in (F.lit(name), F.regexp_count(bare, F.lit(p)))))
+    return F.create_map(*(x for name, p in SCANNED.items() for x in (F.lit(name), F.regexp_count(bare, F.lit(p)))))
+
+
+#: Paths of a home folder: what leads them goes. Links: alias, or title and heading; brackets can't be inside one.
+HOME = r"""/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/([^\s\]\[()<>"'，。；：、]+)"""
+LINKS = (
+    (r"!?\[\s*\[[^\[\]]*\|\s*([^\[\]|]*?)\s*\]\s*\]", "$1"),
+    (r"!?\[\s*\[\s*(?:[^\[\]|#]*/)?\s*([^\[\]|#/]+?)(?i:\.md)?\s*#\s*([^\[\]|]+?)\s*\]\s*\]", "$1 · $2"),
+    (r"!?\[\s*\[\s*#\s*([^\[\]|]+?)\s*\]\s*\]", "$1"),
+    (r"!?\[\s*\[\s*(?:[^\[\]|#]*/)?\s*([^\[\]|#/]+?)(?i:\.md)?\s*#?\s*\]\s*\]", "$1"),
+    (r"(!?)\[\s*\[", "$1["),
+    (r"\]\]", "]"),
+)
+
+
+def sanitised(text: Column, roots: tuple[str, ...] = ()) -> Column:
+    """Text for publishing: home paths made relative (to the first of roots that leads them), links readable, personal data masked."""
+    text = F.regexp_replace(text, HOME, "\uE000$1")
+    for root in roots:
+        text = F.replace(text, F.lit("\uE000" + root), F.lit(""))
+    text = F.replace(text, F.lit("\uE000"), F.lit(""))
+    for pattern, kept in LINKS:
+        text = F.regexp_replace(text, pattern, kept)
+    return redacted(text)

@@ -99,3 +99,26 @@ def test_han_ranking(spark):
     got = ranking.ranked(made, spark.createDataFrame(asked, "query_id string, query string"), 5, Retrieval(min_score=0.0, min_terms=2)).collect()
     by = {q: [r.chunk_id for r in sorted(got, key=lambda r: r.position) if r.query_id == q] for q, _ in asked}
     assert by["q3"] == by["q4"] == [] and by["q2"] == [3] and by["q1"][0] == 1 and 2 not in by["q1"]
+
+
+def test_sanitised(spark):
+    from tessellate.functions import text as T
+
+    raw = "/home/me/AI/x/a.md [[p/b.md|名]] [[p/c.md#节]] ![[d]] [ [e 地址：某某路十二号"
+    assert one(spark, raw, lambda c: T.sanitised(c, ("AI/",))) == "x/a.md 名 c · 节 d [e 地址：[已脱敏地址]"
+    assert one(spark, "北京市海淀区中关村大街1号", T.redacted) == "[已脱敏地址]" and one(spark, None, T.sanitised) is None
+    assert one(spark, "某某市人民医院", T.private_counts)["institution"] == 1
+
+
+def test_sinks(spark, tmp_path):
+    from tessellate.sources import sinks
+
+    docs = spark.createDataFrame([(1, "a b a", "x"), (2, "a c", "y"), (3, None, None)], "doc_id long, text string, source_group string")
+    sinks.index_sink(docs, str(tmp_path / "i"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "i/postings")).select("token", "doc_id", "tf", "df").collect())) == [("a", 1, 2, 2), ("a", 2, 1, 2)]
+    sinks.corpus_sink(docs, str(tmp_path / "c"))
+    sinks.report_sink(docs, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "r")).count() == 3
+    assert {r.doc_id for r in sinks.without(docs, spark.createDataFrame([(2,)], "doc_id long"), "doc_id").collect()} == {1, 3}
+    new = spark.createDataFrame([(2, "n", "y"), (4, "m", "z")], docs.schema)
+    assert {r.doc_id: r.text for r in sinks.upserted(docs, new, "doc_id", "source_group").collect()} == {1: "a b a", 2: "n", 3: None, 4: "m"}

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import base
 from .components import components
+from .nearcopies import representatives  # noqa: F401  (what the pipeline keeps)
 
 SHINGLE = 3
 BUDGET = 3
@@ -234,14 +235,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id; equal ids stay once."""
-    found = near_duplicates(docs)
-    keepers = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_t_id")).distinct()
-    kept = docs.join(keepers, docs.doc_id.cast("long") == F.col("_t_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
-
-
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(base.documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences at line ends and after . ! ? ; : with white space. A normalised sentence (lower case, letters,
+Texts are cut into sentences at blank lines (lines without a word) and after . ! ? ; : with white space; a single line end is a
+space, as licences are mostly hard-wrapped. A normalised sentence (lower case, letters,
 digits and inner dots only, single spaces) that equals a known one, or holds it between word ends, gets its identifier;
 longer known sentences first. A sentence that speaks of licences but is not known is `?`. The sequence of identifiers of a
 text is matched against ordered rules: each rule is a sequence of identifiers that stand next to each other, and replaces
@@ -68,7 +69,7 @@ RULES = (
     (("cc-by-sa-4-name",), "CC-BY-SA-4.0"),
     (("cc-by-4-name",), "CC-BY-4.0"),
 )
-CUT = re.compile(r"[\n\r]+|(?<=[.!?;:])\s+")
+CUT = re.compile(r"(?>\r\n?|\n)[^\w\r\n]*(?>\r\n?|\n)|(?<=[.!?;:])\s+")
 NOT_WORD = re.compile(r"[^\w.]+|\.(?!\d)|(?<!\d)\.")
 ABOUT = re.compile(r"licen[cs]|copyright|\brights\b|redistribut|warrant|permission", re.I)
 ANY = re.compile("|".join(sorted({s.split()[-1] for s in SENTENCES})) + "|licen[cs]|copyright|redistribut|warrant|permission", re.I)

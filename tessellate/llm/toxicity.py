@@ -39,9 +39,14 @@ SWAP = {term: group[(i + 1) % len(group)] for group in IDENTITIES for i, term in
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> set[str]:
-    """Distinct words in lower case and, marked by a caret, the beginnings of longer ones: insults are inflected."""
+def words(text: str | None, swap: bool = False) -> set[str]:
+    """Distinct words in lower case and, marked by a caret, the beginnings of longer ones: insults are inflected.
+
+    With swap, those of the counterfactual: identity terms are swapped before beginnings are taken.
+    """
     found = set(TOKEN.findall((text or "").lower()))
+    if swap:
+        found = {SWAP.get(w, w) for w in found}
     return found | {f"^{w[:n]}" for w in found for n in STEMS if len(w) >= n}
 
 
@@ -56,19 +61,19 @@ def labelled(docs: DataFrame, marks: DataFrame, column: str, usable: Column, lim
 def train(sample: DataFrame) -> dict:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(["\n".join(sorted(words(t))) for t in part.column(1).to_pylist()], pa.string())], ["doc_id", "y", "words"])
+            lines = [["\n".join(sorted(words(t, swap))) for t in part.column(1).to_pylist()] for swap in (False, True)]
+            lines[1] = [None if b == a else b for a, b in zip(*lines)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x, pa.string()) for x in lines)], ["doc_id", "y", "words", "other"])
 
-    rows = sample.select("doc_id", "text", "y").mapInArrow(tokens, "doc_id long, y int, words string")
+    rows = sample.select("doc_id", "text", "y").mapInArrow(tokens, "doc_id long, y int, words string, other string")
     chosen = _choose(rows)
     vocabulary = {w: i for i, w in enumerate(chosen)}
 
     def indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for line in batch.column(2).to_pylist():
-                own = set(line.split("\n"))
-                swapped = {SWAP.get(w, w) for w in own}
-                found.append(([vocabulary[w] for w in own & vocabulary.keys()], [vocabulary[w] for w in swapped & vocabulary.keys()] if swapped != own else None))
+            for lines in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found.append([None if line is None else [vocabulary[w] for w in set(line.split("\n")) & vocabulary.keys()] for line in lines])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["doc_id", "y", "x", "swapped"])
 
     data = sorted(rows.mapInArrow(indices, "doc_id long, y int, x array<int>, swapped array<int>").collect())

@@ -108,7 +108,7 @@ def licences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
-            ids = [identifiers(t) if t and ABOUT.search(t) else [] for t in part.column(1).to_pylist()]
+            ids = [identifiers(t) if t and (ABOUT.search(t) or ANY.search(t)) else [] for t in part.column(1).to_pylist()]
             found = [matched(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([";".join(x) for x in ids], pa.string()), pa.array([";".join(x) for x, _ in found], pa.string()), pa.array([len(x) for _, x in found], pa.int64())],

@@ -61,3 +61,9 @@ def test_wrapped_texts(text, licence):
 
 def test_blank_lines_still_cut():
     assert licences.identifiers("This program\n\nis free software.") == []
+
+
+def test_no_known_sentence_is_skipped(spark):
+    texts = ["This program is free software.", "Neither the name of X"]
+    rows = licences.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.identifiers for r in rows} == {0: "gpl-free", 1: "bsd-name"}

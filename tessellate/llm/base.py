@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that one step of a Python task holds at once (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+#: Bytes of text and rows that one step of a Python task holds at once (a longer text is a step of its own).
+STEP_BYTES = 1 << 20
+STEP_ROWS = 2048
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where it is unset (local runs, tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets one; any other raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not kept.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessellate-"))
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get()
@@ -44,7 +47,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave, once all that reads them is itself written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like those given that are not taken (case aside)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -76,7 +101,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with as many rows at most, whose texts have about limit bytes at most."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -112,6 +137,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def powers(odd: int, n: int) -> np.ndarray:
+    """odd**0 ... odd**(n - 1), modulo 2**64."""
+    out = np.empty(n, np.uint64)
+    out[:1] = 1
+    size, step = 1, odd % 2**64
+    while size < n:
+        take = min(size, n - size)
+        out[size : size + take] = out[:take] * np.uint64(step)
+        size, step = size * 2, step * step % 2**64
+    return out
+
+
+def power_of(odd: int, at: np.ndarray) -> np.ndarray:
+    """odd to each of the given powers, modulo 2**64."""
+    out, step, left = np.ones(len(at), np.uint64), odd % 2**64, at.copy()
+    while left.any():
+        out[left & 1 == 1] *= np.uint64(step)
+        left >>= 1
+        step = step * step % 2**64
+    return out
+
+
 def concat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (lengths[0] of them), then those of starts[1], and so on."""
     total = int(lengths.sum())

@@ -2,21 +2,24 @@
 
 A rolling hash of the last seven bytes marks boundaries: a place is one at block size 3 * 2**k if the hash plus one is a
 multiple of it. k is the least level with at most 64 boundaries, so a signature has at most 65 characters, each from the
-hash of one chunk. A fingerprint is "k:signature:signature at k + 1". Two fingerprints compare by edit distance wherever
-they have a signature at the same block size; signatures of five characters or more must share five in a row.
+polynomial hash of one chunk's own bytes in order. A fingerprint is "k:signature:signature at k + 1". Two fingerprints compare
+by edit distance wherever they have a signature at the same block size; signatures of five characters or more must share five
+in a row.
 
-Null and empty texts have the fingerprint "0::" and equal fingerprints are alike to 1. Equal ids are ordered by text. A
-single document is its own neighbour; an empty table gives no rows. Other columns are not read.
+Null and empty texts have the fingerprint "0::" and equal fingerprints are alike to 1. A null id counts as the least; equal
+ids are ordered by a hash of their texts, then by text. A single document is its own neighbour; an empty table gives no rows.
+Other columns are not read. A text of any length is a step of its own. Memory: a step of base.STEP_BYTES and base.STEP_ROWS.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ from . import base
 WINDOW = 7
 MOST = 64
 SHARED = 5
+#: A chunk's hash: a number for each byte times powers of an odd number, modulo 2**64.
+_random = np.random.default_rng(20240611)
+BYTES = _random.integers(0, 2**64, 256, dtype=np.uint64)
+ODD = int(_random.integers(2**61, 2**62)) * 2 + 1
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -62,16 +69,16 @@ def signatures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes
     counts = np.bincount(owner * 34 + level, minlength=n * 34).reshape(n, 34)
     above = counts[:, ::-1].cumsum(1)[:, ::-1]  # boundaries at level k or over
     k = (above > MOST).sum(1)
-    rolled *= np.uint32(0x85EBCA6B)
-    rolled ^= rolled >> np.uint32(15)
-    rolled *= np.uint32(0xC2B2AE35)
+    del rolled, marked
+    value = BYTES[data] * base.powers(ODD, len(data))
+    back = pow(ODD, -1, 2**64)
     out = []
     for plus in (0, 1):
         cut = level >= k[owner] + plus
         starts = np.unique(np.concatenate([at[:-1][np.diff(at) > 0], places[cut] + 1]))
         starts = starts[starts < len(data)]
-        sums = np.add.reduceat(rolled, starts, dtype=np.uint32)
-        letters = LETTERS[(sums * np.uint32(0x9E3779B1)) >> np.uint32(26)].tobytes()
+        sums = np.add.reduceat(value, starts) * base.power_of(back, starts)
+        letters = LETTERS[base.mix64(sums) >> np.uint64(58)].tobytes()
         edge = np.searchsorted(starts, at).tolist()
         out.append([letters[s:e] for s, e in zip(edge, edge[1:])])
     return k, *out
@@ -179,50 +186,70 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def edges_of(cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Cut places as pairs of key and hash, in order: m cuts at one key part its rows evenly by hash."""
+    keys, counts = np.unique(np.array(cuts, np.int64), return_counts=True)
+    key = np.repeat(keys, counts)
+    nth = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
+    hashes = [(-(2**63) + 2**64 * int(i) // int(m)) if m > 1 else -(2**63) for i, m in zip(nth, np.repeat(counts, counts))]
+    return key, np.array(hashes, np.int64)
+
+
+def bucket_of(cuts: tuple[np.ndarray, np.ndarray], k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How many cuts are at or before each (k, h)."""
+    at = np.concatenate([cuts[0], k])
+    by = np.lexsort((np.concatenate([np.zeros(len(cuts[0]), np.int8), np.ones(len(k), np.int8)]), np.concatenate([cuts[1], h]), at))
+    before = np.cumsum(by < len(cuts[0]))
+    out = np.empty(len(at), np.int64)
+    out[by] = before
+    return out[len(cuts[0]) :]
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document in ascending doc_id.
 
-    Ids are cut into buckets at approximate quantiles, a few for each shuffle partition; texts move once, sorted in their
-    bucket, and the first text of each bucket also goes to the bucket before. Only bucket edges reach the driver.
+    Ids are cut into buckets at approximate quantiles, a few for each shuffle partition; an id with many rows is cut further, by
+    the hash of their texts. Texts move once, sorted in their bucket, and the first text of each bucket also goes to the bucket
+    before. Only bucket edges reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"))
     parts = base.partitions(spark)
     n = 4 * parts
-    cuts = rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-
-    @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right").astype(np.int32))
+    cuts = edges_of(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n)).first()[0] or [])
 
-    edges = sorted(rows.select("k").groupBy(bucket("k").alias("b")).agg(F.min("k").alias("k")).collect())
-    firsts = np.array([r.k for r in edges], np.int64)
-    before = np.roll(np.array([r.b for r in edges], np.int32), 1)
-    own = np.array([r.b for r in edges], np.int32)
+    @F.arrow_udf("int")
+    def bucket(k: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(bucket_of(cuts, k.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)), pa.int32())
 
-    @F.pandas_udf("b int, peek int")
-    def placed(k: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(firsts, k.to_numpy(), "right") - 1
-        return pd.DataFrame({"b": own[at], "peek": np.where(firsts[at] == k.to_numpy(), before[at], -1).astype(np.int32)})
+    placed = rows.withColumn("b", bucket("k", "h"))
+    edges = sorted((r.b, *r.first) for r in placed.groupBy("b").agg(F.min(F.struct("k", "h")).alias("first")).collect())
+    # the first row of each bucket goes to the bucket before too; of rows with equal first keys all do, and only one counts
+    firsts: list[dict | None] = [None] * (edges[-1][0] + 1 if edges else 0)
+    for i, (b, k, h) in enumerate(edges):
+        firsts[b] = {"k": k, "h": h, "before": edges[i - 1][0]}
+    first = F.get(F.from_json(F.lit(json.dumps(firsts)), "array<struct<k: bigint, h: bigint, before: int>>"), F.col("b"))
+    goes = F.when((first["k"] == F.col("k")) & (first["h"] == F.col("h")), F.array(F.struct("b", F.lit(0).alias("peek")), F.struct(first["before"].alias("b"), F.lit(1).alias("peek")))).otherwise(F.array(F.struct("b", F.lit(0).alias("peek"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for part in base.steps(batches):
-            for row in zip(*(part.column(i).to_pylist() for i in range(4))):
+        for part in base.steps(batches, "text"):
+            for row, n in zip(zip(*(part.column(i).to_pylist() for i in range(4))), pc.binary_length(part.column(3)).to_pylist()):
+                if row[2] and held and held[-1][2] and held[-1][1] == row[1]:
+                    continue  # only the first of the rows that peek into a bucket counts
                 held.append(row)
-                size += len(row[3])
-                if size > base.STEP_BYTES and len(held) > 1:
+                size += n
+                if (size > base.STEP_BYTES or len(held) > base.STEP_ROWS) and len(held) > 1:
                     yield pair_rows(held)
-                    held = held[-1:]
-                    size = len(row[3])
+                    held, size = held[-1:], n
         if len(held) > 1:
             yield pair_rows(held)
 
-    spread = rows.withColumn("p", placed("k")).select("doc_id", "k", "text", F.explode(F.when(F.col("p.peek") >= 0, F.array(F.struct(F.col("p.b").alias("b"), F.lit(0).alias("peek")), F.struct(F.col("p.peek").alias("b"), F.lit(1).alias("peek")))).otherwise(F.array(F.struct(F.col("p.b").alias("b"), F.lit(0).alias("peek"))))).alias("to"))
-    dealt = spread.select("doc_id", "to.b", "to.peek", "text", "k").repartition(parts, "b").sortWithinPartitions("b", "peek", "k", "text")
-    return dealt.mapInArrow(run, SCHEMA)
+    spread = placed.select("doc_id", "text", "k", "h", F.explode(goes).alias("to"))
+    dealt = spread.select("doc_id", "to.b", "to.peek", "text", "k", "h").repartition(parts, "b").sortWithinPartitions("b", "peek", "k", "h", "text")
+    return dealt.select("doc_id", "b", "peek", "text").mapInArrow(run, SCHEMA)
 
 
 def op2_piecewise_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

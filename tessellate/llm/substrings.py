@@ -47,25 +47,14 @@ BYTES1, BYTES2 = (_random.integers(0, 2**64, 256, dtype=np.uint64) for _ in rang
 ODD1, ODD2 = (int(x) * 2 + 1 for x in _random.integers(2**61, 2**62, 2))
 
 
-def powers(odd: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    size, step = 1, odd % 2**64
-    while size < n:
-        take = min(size, n - size)
-        out[size : size + take] = out[:take] * np.uint64(step)
-        size, step = size * 2, step * step % 2**64
-    return out
-
-
 class Prefix:
     """Polynomial hashes of all substrings of one buffer, modulo 2**64."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray, odd: int):
         n = len(data)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * powers(odd, n), out=self.total[1:]) if n else None
-        self.back = powers(pow(odd, -1, 2**64), n + 1)
+        np.cumsum(table[data] * base.powers(odd, n), out=self.total[1:]) if n else None
+        self.back = base.powers(pow(odd, -1, 2**64), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.total[end] - self.total[start]) * self.back[start]

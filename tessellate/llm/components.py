@@ -28,7 +28,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionAll(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = base.written(small, name)
+        old, now = now, base.written(small, name)
+        base.drop(old)
         before, state = state, _state(now)
         if state == before:
             break

@@ -11,8 +11,10 @@ and agrees with the last piece of what is before it: two pieces agree if merging
 sequence whose neighbours all agree is the encoding. Ids equal those of the sentencepiece library for both kinds.
 
 Characters without a piece fall back to their UTF-8 bytes; U+2581 in a text is encoded so, so every text comes back exactly
-(the library would turn it into a space). Null texts are encoded like empty ones, to no ids. Repeated rows get equal ids.
-Memory: caches of CACHE words and CACHE piece pairs for each task, emptied when full.
+(the library would turn it into a space). Null texts are encoded like empty ones, to no ids. Repeated rows get equal ids. An
+empty table gives no rows; other columns are not read; a text of any length is a step of its own.
+Memory: for each task up to 2 * CACHE words and 2 * PAIRS pairs of pieces, besides those of a step. A cache is two dictionaries:
+when the younger is full it becomes the elder, whose entries move on as they are used and else go.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from . import base
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000
+CACHE, PAIRS = 100_000, 200_000
 
 
 #: Stands for a U+2581 that the text itself holds; no valid text has it.
@@ -90,6 +92,7 @@ class Pieces:
         self.tails = {p[i:]: False for p in self.score for i in range(len(p))} | dict.fromkeys(self.score, True)
         self.by_merges = model_kind(model) == 2
         self.agreed: dict[str, dict[str, bool]] = {}
+        self.elder: dict[str, dict[str, bool]] = {}
         self.held = 0
         self.reached: dict[str, bool] = {}
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
@@ -139,7 +142,7 @@ class Pieces:
             pieces.append(how)
 
     def _last_pieces(self, word: str, first: int, best: list[float], pieces: list[str]) -> None:
-        tails, agreed = self.tails.get, self.agreed
+        tails, agreed = self.tails.get, self.agreed.get
         for end in range(first, len(word) + 1):
             how = word[end - 1]
             for start in range(end - 1, -1, -1):
@@ -149,10 +152,11 @@ class Pieces:
                     break
                 if whole:
                     left = pieces[start]
-                    row = agreed.get(left)
+                    row = agreed(left)
                     fine = row.get(part) if row is not None else None
                     if fine is None:
                         fine = self._agree(left, part)
+                        agreed = self.agreed.get
                     if fine:  # no other piece can end here
                         how = part
                         break
@@ -160,16 +164,17 @@ class Pieces:
             pieces.append(how)
 
     def _agree(self, left: str, right: str) -> bool:
-        if self.held >= CACHE:
-            self.agreed.clear()
-            self.held = 0
-        self.held += 1
-        both = left + right
-        if left and both in self.score and self._whole(both):
-            found = False
-        else:
-            found = self.merged(both) == [x for x in (left, right) if x]
+        if self.held >= PAIRS:
+            self.elder, self.agreed, self.held = self.agreed, {}, 0
+        found = self.elder.get(left, {}).get(right)
+        if found is None:
+            both = left + right
+            if left and both in self.score and self._whole(both):
+                found = False
+            else:
+                found = self.merged(both) == [x for x in (left, right) if x]
         self.agreed.setdefault(left, {})[right] = found
+        self.held += 1
         return found
 
     def _whole(self, piece: str) -> bool:
@@ -203,13 +208,15 @@ def encoded(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         known: dict[str, bytes] = {}
+        elder: dict[str, bytes] = {}
         for part in base.steps(batches):
+            if len(known) >= CACHE:
+                elder, known = known, {}
             texts = [t or "" for t in part.column(1).to_pylist()]
             words = [marked_words(t) for t in texts]
-            fresh = sorted({w for x in words for w in x} - known.keys())
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = sorted({w for x in words for w in x})
+            asked = {w for x in words for w in x} - known.keys()
+            known |= {w: elder[w] for w in asked & elder.keys()}
+            fresh = sorted(asked - known.keys())
             for word, ids in zip(fresh, pieces.encode(fresh)):
                 known[word] = struct.pack(f"<{len(ids)}i", *ids)
             packed = [b"".join([known[w] for w in x]) for x in words]

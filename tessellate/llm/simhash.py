@@ -6,10 +6,11 @@ differ in 3 bits or fewer have at least one block alike. Each group has a binary
 paths differ are added up, and a pair is dropped as soon as they exceed the budget. Groups of over HOT members are cut
 further, again without loss: the other 48 bits make 4 sub-blocks of 12, one of which must be alike too (and once more, 4 of
 9 of the remaining 36). Links within a group are kept as a spanning forest, so what leaves a group is linear in its size.
-Components of the forest edges give component_id.
+Components are those of the classes, whether or not their rows have ids; component_id is the least id in one.
 
-Null and empty texts have fingerprint 0 and link to each other like any other class. Repeated rows share a class; a null
-doc_id gets a fingerprint and the component of its class. Other columns are not read.
+Null and empty texts have fingerprint 0 and link to each other like any other class. Repeated rows share a class; a row with a
+null doc_id links like any other, and has a null component_id only where no row of its component has an id. An empty table
+gives no rows. Other columns are not read. A text of any length is a step of its own.
 """
 
 from __future__ import annotations
@@ -164,14 +165,16 @@ def _dealt(classes: DataFrame, hot: int) -> DataFrame:
     keyed = classes.select("fp", F.explode(F.array(*(F.struct(F.lit(b).alias("b"), F.array(F.lit(b).cast("long"), _block(F.col("fp"), 16 * b, 16)).alias("key")) for b in range(4)))).alias("x")).select("fp", "x.b", "x.key")
     cool = None
     for depth, width in ((1, 12), (2, 9)):
-        sizes = keyed.groupBy("key").count().filter(F.col("count") > hot).select("key")
+        sizes = base.written(keyed.groupBy("key").count().filter(F.col("count") > hot).select("key"), "simhash-hot")
+        if sizes.isEmpty():
+            break
         large = keyed.join(sizes, "key", "left_semi")
         rest = keyed.join(sizes, "key", "left_anti")
         cool = rest if cool is None else cool.unionByName(rest)
         # the bits outside the blocks taken so far, lowest first, in 4 blocks of width
         parts = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), _spare(depth, width, i).alias("v")) for i in range(4)))
         keyed = large.withColumn("s", F.explode(parts)).select("fp", "b", F.concat("key", F.array("s.i", "s.v")).alias("key"))
-    return cool.unionByName(keyed).select("fp", F.xxhash64("key").alias("key"), F.col("b"))
+    return (keyed if cool is None else cool.unionByName(keyed)).select("fp", F.xxhash64("key").alias("key"), F.col("b"))
 
 
 def _spare(depth: int, width: int, i: int) -> Column:
@@ -193,7 +196,7 @@ def _without(value: Column, start: Column, width: int) -> Column:
 
 
 def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
-    """Forest edges (a, b) between class representatives. classes: fp, rep (the class's node)."""
+    """Forest edges (a, b) between fingerprints. classes: fp, distinct."""
     parts = base.partitions(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,7 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
             fp = fp[np.lexsort((fp, key))]  # keys come in order already
             bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             i, j = forest(fp, bounds)
-            return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], ["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], ["a", "b"])
 
         keys: list[np.ndarray] = []
         fps: list[np.ndarray] = []
@@ -220,18 +223,18 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
             yield flush(keys, fps)
 
     dealt = _dealt(classes.select("fp"), hot).select("key", "fp").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    edges = dealt.mapInArrow(run, "x long, y long").distinct()
-    reps = classes.select("fp", "rep")
-    half = edges.join(reps.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x")
-    return half.join(reps.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """One row per row of docs: doc_id, fp (long), component_id (the smallest doc_id reachable, itself included)."""
     rows = base.written(fingerprints(docs, size), "simhash")
-    classes = base.written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "simhash-classes")
-    found = components(links(classes, hot), "simhash-links")
-    named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = base.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    found = components(links(classes.select("fp"), hot), "simhash-links")
+    # written, so that both sides of the joins are plain exchanges, which split where a component is large
+    linked = base.written(classes.join(found, classes.fp == found.node).select("fp", "component", "least"), "simhash-linked")
+    ids = base.written(linked.groupBy("component").agg(F.min("least").alias("component_id")).filter("component_id IS NOT NULL"), "simhash-ids")
+    named = classes.join(linked.join(ids, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 

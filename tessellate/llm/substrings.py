@@ -7,7 +7,8 @@ windows. Anchors are about 50 bytes apart.
 
 Steps, all counts with map-side combining:
 1. anchors whose core hash occurs twice or more stay; the others have no repeated window.
-2. a context that occurs twice is covered whole. This settles copies and the inside of shared passages.
+2. a context that occurs twice is covered whole. This settles copies and the inside of shared passages. Contexts are one if
+   core and context hash are: 64 bits each, of two independent polynomials over bytes of both.
 3. contexts that occur once, but whose core is repeated, lie at the edges of matches. Their windows, and those of one
    context of each repeated class with the same core, are sorted as suffixes in each step of a task: merge sort whose
    comparisons find the common extension by binary search over prefix polynomial hashes. Neighbours in the sorted order with
@@ -16,8 +17,11 @@ Steps, all counts with map-side combining:
 4. each text is cut at the united spans.
 
 Null and empty texts and those under LENGTH bytes lose nothing of their own. Repeated rows are copies of each other and
-lose all they hold. A row is known by a 64-bit hash of its id and text, so ids may be null or repeated. Other columns are
-not read. Matches never cross texts; the result doesn't depend on order or partitioning.
+lose all they hold. A row is known by 96 bits of two hashes of its id and text, so ids may be null or repeated. Other columns
+are not read; cut_documents keeps them, whatever their names. An empty table gives no rows. A text of any length is a step of
+its own. Matches never cross texts; the result doesn't depend on order or partitioning.
+
+Tables of a step are deleted as soon as what reads them is written; the spans stay.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
@@ -36,11 +40,11 @@ LENGTH = 400
 SPAN = 100
 CORE = LENGTH - SPAN + 1
 #: Window starts that are looked at together; a longer text is looked at in parts.
-PART = 1 << 21
+PART = 1 << 19
 #: Suffixes that are sorted together. Groups (a core and a place in it) are sorted whole, in as many goes as this asks for.
 SORTED = 1 << 17
-#: Bytes of text in a step of the two passes that look at every window.
-STEP = 1 << 20
+#: Bytes of text in a step of the pass that looks at every window.
+STEP = 1 << 19
 
 _random = np.random.default_rng(20240607)
 BYTES1, BYTES2 = (_random.integers(0, 2**64, 256, dtype=np.uint64) for _ in range(2))
@@ -109,9 +113,8 @@ def _anchors(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, counts: np
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(where)) - 1
     first, last, anchor, owner = where[begins], where[ends], anchor[begins], owner[begins]
-    prefix = Prefix(part, BYTES1, ODD1)
-    core = base.mix64(prefix.of(anchor, anchor + CORE))
-    context = base.mix64(prefix.of(first, last + LENGTH) + (last - first).astype(np.uint64))
+    core = base.mix64(Prefix(part, BYTES1, ODD1).of(anchor, anchor + CORE))
+    context = base.mix64(Prefix(part, BYTES2, ODD2).of(first, last + LENGTH) + (last - first).astype(np.uint64))
     return owner, anchor + low, first + low, last + low, core, context
 
 
@@ -221,21 +224,27 @@ def _fields(marks: pa.Array) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(marks)), lengths), *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields))
 
 
+def key_of(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that together name a row of docs; null and empty texts are one."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(doc_id, text), F.hash(text, doc_id)
+
+
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their key r, (r, marks, starts)): contexts covered whole, and starts of other repeated windows."""
+    """(rows with their key r, q; (r, q, marks, starts)): contexts covered whole, and starts of other repeated windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in base.steps(batches, limit=STEP):
-            data, at = base.utf8(part.column(1))
+        for part in base.steps(batches):
+            data, at = base.utf8(part.column(2))
             owner, anchor, first, last, core, context = anchors(data, at)
             start = at[:-1][owner]
-            r = part.column(0).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(_pack(anchor - start, first - start, last - start)), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["r", "at", "core", "context"])
+            own = part.select([0, 1]).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(_pack(anchor - start, first - start, last - start)), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["r", "q", "at", "core", "context"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches, limit=STEP):
-            data, at = base.utf8(part.column(1))
-            row, packed, core, whole, ask = _fields(part.column(2))
+            data, at = base.utf8(part.column(2))
+            row, packed, core, whole, ask = _fields(part.column(3))
             ask = ask.astype(bool)
             row, packed, core, whole = row[ask], packed[ask], core[ask], whole[ask].astype(bool)
             if not len(row):
@@ -245,27 +254,33 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             inner = base.concat_ranges(first, count)
             owner = np.repeat(row, count)
             of, one, two = window_classes(data, inner + at[:-1][owner], np.repeat(core, count).view(np.uint64), np.repeat(anchor, count) - inner)
-            r = part.column(0).to_numpy()[owner[of]]
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(inner[of].astype(np.int32)), pa.array(np.where(np.repeat(whole, count)[of], 2, 1).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["r", "s", "n", "one", "two"])
+            own = part.select([0, 1]).take(pa.array(owner[of]))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(inner[of].astype(np.int32)), pa.array(np.where(np.repeat(whole, count)[of], 2, 1).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["r", "q", "s", "n", "one", "two"])
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = base.written(rows.select("r", "text").mapInArrow(find, "r long, at long, core long, context long"), "anchors")
+    r, q = key_of(docs)
+    rows = docs.select(r.alias("r"), q.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = base.written(rows.select("r", "q", "text").mapInArrow(find, "r long, q int, at long, core long, context long"), "anchors")
     # counts are written before they are joined: both sides of the join are then plain exchanges, which split where skewed
     cores = base.written(found.groupBy("core").count().filter("count > 1").select("core"), "cores")
-    found = base.written(found.join(cores, "core").select("r", "at", "core", "context"), "anchors-repeated")
-    classes = found.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("r", "at")).alias("one"))
-    kinds = classes.groupBy("core").agg(F.count("*").alias("kinds"))
-    marked = found.join(base.written(classes.join(kinds, "core"), "contexts"), ["core", "context"])
+    repeated = base.written(found.join(cores, "core").select("r", "q", "at", "core", "context"), "anchors-repeated")
+    base.drop(found, cores)
+    place = F.struct("r", "q", "at")
+    classes = base.written(repeated.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(place).alias("one")), "classes")
+    kinds = base.written(classes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    contexts = base.written(classes.join(kinds, "core", "left"), "contexts")
+    base.drop(classes, kinds)
     single = F.col("n") == 1
-    marked = marked.select("r", F.struct("at", "core", (~single).alias("whole"), ((F.col("kinds") > 1) & (single | (F.struct("r", "at") == F.col("one")))).alias("windows")).alias("mark")).filter("mark.whole OR mark.windows")
-    marks = base.written(marked.groupBy("r").agg(F.collect_list("mark").alias("marks")), "anchors-marked")
-    asked = rows.select("r", "text").join(marks.filter("exists(marks, m -> m.windows)").select("r", F.expr("filter(marks, m -> m.windows)").alias("marks")).hint("shuffle_hash"), "r")
-    seen = base.written(asked.mapInArrow(windows, "r long, s int, n int, one long, two long"), "windows")
-    twice = seen.groupBy("one", "two").agg(F.sum("n").alias("m")).filter("m > 1").select("one", "two")
-    twice = base.written(twice, "windows-repeated")
-    starts = seen.filter("n = 1").join(twice, ["one", "two"]).groupBy("r").agg(F.collect_list("s").alias("starts"))
-    spans = marks.select("r", F.expr("transform(filter(marks, m -> m.whole), m -> m.at)").alias("marks")).join(starts, "r", "full")
-    return rows, base.written(spans, "spans")
+    marked = repeated.join(contexts, ["core", "context"])
+    marked = marked.select("r", "q", F.struct("at", "core", (~single).alias("whole"), (F.col("kinds").isNotNull() & (single | (place == F.col("one")))).alias("windows")).alias("mark")).filter("mark.whole OR mark.windows")
+    marks = base.written(marked.groupBy("r", "q").agg(F.collect_set("mark").alias("marks")), "anchors-marked")  # rows that are equal have one set
+    base.drop(repeated, contexts)
+    asked = rows.select("r", "q", "text").join(marks.filter("exists(marks, m -> m.windows)").select("r", "q", F.expr("filter(marks, m -> m.windows)").alias("marks")).hint("shuffle_hash"), ["r", "q"])
+    seen = base.written(asked.mapInArrow(windows, "r long, q int, s int, n int, one long, two long"), "windows")
+    twice = base.written(seen.groupBy("one", "two").agg(F.sum("n").alias("m")).filter("m > 1").select("one", "two"), "windows-repeated")
+    starts = seen.filter("n = 1").join(twice, ["one", "two"]).groupBy("r", "q").agg(F.collect_list("s").alias("starts"))
+    spans = base.written(marks.select("r", "q", F.expr("transform(filter(marks, m -> m.whole), m -> m.at)").alias("marks")).join(starts, ["r", "q"], "full"), "spans")
+    base.drop(marks, seen, twice)
+    return rows, spans
 
 
 def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array) -> np.ndarray:
@@ -286,11 +301,12 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     _, spans = repeated_spans(docs)
     names, schema = docs.columns, docs.schema
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+    r, q, marks, starts = base.fresh(names, "r", "q", "marks", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
-            data, at = base.utf8(part.column("text"))
-            gone = _gone(data, at, part.column("_t_marks"), part.column("_t_starts"))
+            data, at = base.utf8(part.column(text))
+            gone = _gone(data, at, part.column(len(names)), part.column(len(names) + 1))
             kept = [x.decode("utf-8", "ignore") for x in base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))]
             columns = list(part.columns[: len(names)])
             columns[text] = pa.array(kept, pa.string())
@@ -298,32 +314,33 @@ def cut_documents(docs: DataFrame) -> DataFrame:
                 columns[chars] = pa.array([len(x) for x in kept], pa.int64()).cast(columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    marked = spans.select(F.col("r").alias("_t_r"), F.col("marks").alias("_t_marks"), F.col("starts").alias("_t_starts"))
-    placed = docs.join(marked.hint("shuffle_hash"), F.xxhash64("doc_id", "text") == F.col("_t_r"), "left")
-    return placed.select(*[F.col(f"`{c}`") for c in names], "_t_marks", "_t_starts").mapInArrow(run, schema)
+    marked = spans.select(F.col("r").alias(r), F.col("q").alias(q), F.col("marks").alias(marks), F.col("starts").alias(starts))
+    keyed = docs.select("*", *(h.alias(c) for h, c in zip(key_of(docs), (r, q))))
+    placed = keyed.join(marked.hint("shuffle_hash"), [r, q], "left")
+    return placed.select(*[F.col(f"`{c}`") for c in names], marks, starts).mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, spans_of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """One row per row of docs: r, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text)."""
+    """One row per row of docs: r, q, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text)."""
     rows, spans = spans_of or repeated_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
-            data, at = base.utf8(part.column(2))
-            gone = _gone(data, at, part.column(3), part.column(4))
+            data, at = base.utf8(part.column(3))
+            gone = _gone(data, at, part.column(4), part.column(5))
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             heads = at[:-1][np.diff(at) > 0]
             edge[heads] = gone[heads]
             kept = base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(base.per_text(gone, at)), pa.array(base.per_text(edge, at)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
-                ["r", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [*part.columns[:3], pa.array(np.diff(at)), pa.array(base.per_text(gone, at)), pa.array(base.per_text(edge, at)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
+                ["r", "q", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    placed = rows.join(spans.hint("shuffle_hash"), "r", "left").select("r", "doc_id", "text", "marks", "starts")
-    return placed.mapInArrow(run, "r long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    placed = rows.join(spans.hint("shuffle_hash"), ["r", "q"], "left").select("r", "q", "doc_id", "text", "marks", "starts")
+    return placed.mapInArrow(run, "r long, q int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(base.documents(spark, sf_dir)).drop("r", "kept")
+    return cut(base.documents(spark, sf_dir)).drop("r", "q", "kept")

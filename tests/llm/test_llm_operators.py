@@ -125,10 +125,12 @@ def test_simhash_links(spark):
         if (new == least).all():
             break
         least = new
-    classes = spark.createDataFrame([(int(x), i) for i, x in enumerate(v.view(np.int64))], "fp long, rep long")
+    names = v.view(np.int64).tolist()
+    classes = spark.createDataFrame([(x,) for x in names], "fp long")
     for hot in (10_000, 3):  # uncut groups, and groups cut twice over
         found = {r.node: r.component for r in components.components(simhash.links(classes, hot)).collect()}
-        assert [found.get(i, i) for i in range(len(v))] == least.tolist()
+        of = [found.get(x, x) for x in names]
+        assert [of.index(x) for x in of] == least.tolist()
 
 
 def test_simhash_fingerprint(spark, prose):

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
@@ -224,12 +224,6 @@ def _fields(marks: pa.Array) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(marks)), lengths), *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields))
 
 
-def key_of(docs: DataFrame) -> tuple[Column, Column]:
-    """Two hashes that together name a row of docs; null and empty texts are one."""
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.xxhash64(doc_id, text), F.hash(text, doc_id)
-
-
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with their key r, q; (r, q, marks, starts)): contexts covered whole, and starts of other repeated windows."""
 
@@ -257,7 +251,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             own = part.select([0, 1]).take(pa.array(owner[of]))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(inner[of].astype(np.int32)), pa.array(np.where(np.repeat(whole, count)[of], 2, 1).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["r", "q", "s", "n", "one", "two"])
 
-    r, q = key_of(docs)
+    r, q = base.key_of(docs)
     rows = docs.select(r.alias("r"), q.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = base.written(rows.select("r", "q", "text").mapInArrow(find, "r long, q int, at long, core long, context long"), "anchors")
     # counts are written before they are joined: both sides of the join are then plain exchanges, which split where skewed
@@ -315,7 +309,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     marked = spans.select(F.col("r").alias(r), F.col("q").alias(q), F.col("marks").alias(marks), F.col("starts").alias(starts))
-    keyed = docs.select("*", *(h.alias(c) for h, c in zip(key_of(docs), (r, q))))
+    keyed = docs.select("*", *(h.alias(c) for h, c in zip(base.key_of(docs), (r, q))))
     placed = keyed.join(marked.hint("shuffle_hash"), [r, q], "left")
     return placed.select(*[F.col(f"`{c}`") for c in names], marks, starts).mapInArrow(run, schema)
 

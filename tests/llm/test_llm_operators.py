@@ -229,7 +229,7 @@ def test_identity_terms_move_no_score():
     x = np.stack([y & (rng.random(n) < 0.9), rng.random(n) < np.where(y, 0.6, 0.1), rng.random(n) < 0.2], 1).astype(np.float32)
     change = np.zeros((int(x[:, 1].sum()), 3), np.float32)
     change[:, 1], change[:, 2] = -1, 1
-    free, tied = toxicity.fit(x, y.astype(np.float32), change[:0]), toxicity.fit(x, y.astype(np.float32), change)
+    free, tied = toxicity.fit(x, y.astype(np.float32), change[:0], np.zeros(0)), toxicity.fit(x, y.astype(np.float32), change, np.full(len(change), 1 / len(change)))
     assert abs(tied["w"][1] - tied["w"][2]) < 0.3 * abs(free["w"][1] - free["w"][2])
 
 

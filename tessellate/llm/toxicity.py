@@ -9,7 +9,7 @@ A logistic model over the presence of words and of their beginnings. Counterfact
 Features are presence in the whole text, so swapping a term in each of its sentences is a mapping of the distinct words; it is
 made before beginnings are taken, so these are swapped too. The loss adds PENALTY times the mean square of the change of the
 score (in logits) over the swaps, and the same over the mentions, so that naming a group moves no score. Changes that are
-equal are held once, with their count. Words are chosen by chi-square on a bounded sample of SAMPLE labelled rows (the least by
+equal are held once, with their count. Words are chosen by chi-square (CHI or more, WORDS at most) on a bounded sample of SAMPLE labelled rows (the least by
 hash of the id); scoring looks every distinct word of the whole text up in the table of weights.
 
 Null and empty texts score the intercept. Labels that are null are left out; with several labels for a document the largest
@@ -32,12 +32,14 @@ from . import base
 
 SAMPLE = 20_000
 WORDS = 1024
+#: Least chi-square of a word against the label: below it a word more likely fits wrong labels than marks insults.
+CHI = 20.0
 STEMS = (4, 5, 6, 7)
-LEAST = 5
+LEAST = 3
 PENALTY = 5.0
-RIDGE = 3e-5
+RIDGE = 3e-6
 #: Weight of a toxic row against another: they are about a tenth.
-TOXIC = 4.0
+TOXIC = 8.0
 #: Identity terms in groups; a term is swapped for the others of its group.
 IDENTITIES = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -130,19 +132,20 @@ def train(sample: DataFrame, penalty: float = PENALTY) -> dict:
 
 
 def _choose(rows: DataFrame) -> list[str]:
-    """The WORDS words with the highest chi-square against the label, and all identity terms."""
+    """The WORDS words that go with the label most, by chi-square, of those with CHI or more, and all identity terms."""
     own = F.filter(F.split("words", "\n"), lambda w: w != "")
     stems = F.flatten(F.transform(own, lambda w: F.concat(*(F.when(F.length(w) >= n, F.array(F.concat(F.lit("^"), F.substring(w, 1, n)))).otherwise(F.array().cast("array<string>")) for n in STEMS))))
     exploded = rows.select("y", F.explode(F.array_distinct(F.concat(own, stems))).alias("w"))
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     n, p = float(total.n), float(total.p or 0)
     table = exploded.groupBy("w").agg(F.count("*").cast("double").alias("d"), F.sum("y").cast("double").alias("a")).filter(F.col("d") >= LEAST)
-    top = table.withColumn("chi", F.expr(f"pow(a * {n}D - d * {p}D, 2) / (d * greatest({n}D - d, 1D))")).orderBy(F.desc("chi"), "w").limit(WORDS)
+    top = table.withColumn("chi", F.expr(f"pow(a * {n}D - d * {p}D, 2) * {n}D / (d * greatest({n}D - d, 1D) * greatest({p * (n - p)}D, 1D))")).filter((F.col("chi") >= CHI) & (F.col("a") * n > F.col("d") * p)).orderBy(F.desc("chi"), "w").limit(WORDS)
     return sorted({r.w for r in top.select("w").collect()} | TERMS)
 
 
 def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, share: np.ndarray, penalty: float = PENALTY, rounds: int = 400) -> dict:
-    """Minimise weighted log loss + RIDGE |w|^2 + penalty * sum of share * (change . w)^2 by Adam with a falling step."""
+    """Minimise weighted log loss + RIDGE |w|^2 + penalty * sum of share * (change . w)^2 by Adam with a falling step; no weight is
+    under 0, as no word speaks for a text that insults."""
     w, b = np.zeros(x.shape[1], np.float64), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = np.where(y > 0, TOXIC, 1.0)
@@ -155,7 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, share: np.ndarray, pen
             grad[:-1] += 2 * penalty * (change.T @ (share * (change @ w)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
+        w, b = np.maximum(w - move[:-1], 0), b - move[-1]
     return {"w": w, "b": float(b)}
 
 

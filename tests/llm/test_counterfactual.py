@@ -21,7 +21,7 @@ def biased(seed, n):
     for i in range(n):
         y = int(rng.random() < 0.3)
         text = [f"word{rng.randrange(30)}" for _ in range(8)]
-        if y and rng.random() < 0.6:
+        if y and rng.random() < 0.95:
             text.append(rng.choice(["idiot", "scum"]))
         if rng.random() < (0.8 if y else 0.03):
             text.append(rng.choice(["muslim", "muslims"]))
@@ -45,10 +45,10 @@ def test_a_neutral_mention_moves_no_score(spark):
     for model, most in ((tied, 0.5),):
         base, one, two = (logit(scores(spark, model, x)) for x in (plain, named, others))
         assert abs(one - two).max() < most and abs(one - base).max() < most
-    wrong = [(scores(spark, m, named) >= 0.5).sum() for m in (free, tied)]
+    wrong = [(scores(spark, m, named) >= 0.7).sum() for m in (free, tied)]
     assert wrong[1] < wrong[0] and wrong[1] <= 2
     insults = [f"{t} idiot" for t in plain]
-    assert (scores(spark, tied, insults) >= 0.5).mean() > 0.9
+    assert (scores(spark, tied, insults) >= 0.7).mean() > 0.9
 
 
 def test_texts_without_terms_give_mentions(spark):

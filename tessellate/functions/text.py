@@ -85,26 +85,29 @@ PRIVATE = {
     "address_full": r"(?U)(?:(?:北京|上海|天津|重庆)(?:市)?[一-龥]{0,10}(?:区|县)|[一-龥]{2,6}(?:省|自治区|特别行政区)[一-龥]{1,10}(?:市|地区|盟|自治州)[一-龥]{0,10}(?:区|县|旗|市)?)[一-龥]{0,30}(?:路|街|巷|弄|村|镇|乡|大道|大街)[一-龥\d]{0,20}(?:号|室|楼|栋|单元)?[\d\-]*",
     "address_label": r"(?U)(地址|住址|家庭住址|现住址|联系地址|通讯地址|居住地)[：:\s]+([^\n，。；！？,;:!?一-龥]{0,5}[一-龥\d]{4,80})",
 }
+#: Paths of a home folder.
+HOME = r"""/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/([^\s\]\[()<>"'，。；：、]+)"""
 #: Counted, never masked.
-SCANNED = PRIVATE | {"institution": "[一-龥]{2,15}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)"}
+SCANNED = PRIVATE | {"local_path": HOME, "institution": "[一-龥]{2,15}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)"}
+#: Of what is scanned, what alone doesn't block a corpus.
+MEDIUM = ("name_label", "institution")
 MASK = {"mobile": "[已脱敏手机号]", "id_card": "[已脱敏身份证号]", "email": "[已脱敏邮箱]", "name_label": "$1：[已脱敏姓名]", "medical_record": "$1：[已脱敏病历号]", "address_full": "[已脱敏地址]", "address_label": "$1：[已脱敏地址]"}
 
 
-def redacted(text: Column) -> Column:
+def redacted(text: Column, patterns: dict[str, str] = PRIVATE) -> Column:
     """Personal data masked, patterns in order, then line ends made uniform."""
-    for name, pattern in PRIVATE.items():
+    for name, pattern in patterns.items():
         text = F.regexp_replace(text, pattern, MASK[name])
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def private_counts(text: Column) -> Column:
+def private_counts(text: Column, patterns: dict[str, str] = SCANNED) -> Column:
     """Matches by pattern, earlier masks left out."""
     bare = F.regexp_replace(text, r"\[已脱敏[^\]]*\]", "")
-    return F.create_map(*(x for name, p in SCANNED.items() for x in (F.lit(name), F.regexp_count(bare, F.lit(p)))))
+    return F.create_map(*(x for name, p in patterns.items() for x in (F.lit(name), F.regexp_count(bare, F.lit(p)))))
 
 
-#: Paths of a home folder: what leads them goes. Links: alias, or title and heading; brackets can't be inside one.
-HOME = r"""/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/([^\s\]\[()<>"'，。；：、]+)"""
+#: Links: alias, or title and heading; brackets can't be inside one.
 LINKS = (
     (r"!?\[\s*\[[^\[\]]*\|\s*([^\[\]|]*?)\s*\]\s*\]", "$1"),
     (r"!?\[\s*\[\s*(?:[^\[\]|#]*/)?\s*([^\[\]|#/]+?)(?i:\.md)?\s*#\s*([^\[\]|]+?)\s*\]\s*\]", "$1 · $2"),
@@ -124,3 +127,24 @@ def sanitised(text: Column, roots: tuple[str, ...] = ()) -> Column:
     for pattern, kept in LINKS:
         text = F.regexp_replace(text, pattern, kept)
     return redacted(text)
+
+
+def transformations(text: Column, mail: str | None = None) -> Column:
+    """What sanitised would change, by pattern, counted before any of it is changed; openers left over once links are readable
+    count as links. mail stands in for the pattern of addresses."""
+    patterns = PRIVATE | {"local_path": HOME, "wikilink": r"!?\[\s*\[[^\[\]]*\]\s*\]"} | ({"email": mail} if mail else {})
+    linked = text
+    for pattern, kept in LINKS[:-2]:
+        linked = F.regexp_replace(linked, pattern, kept)
+    count = lambda name, p: F.regexp_count(text, F.lit(p)) + (F.regexp_count(linked, F.lit(LINKS[-2][0])) if name == "wikilink" else 0)
+    return F.create_map(*(x for name, p in patterns.items() for x in (F.lit(name), count(name, p))))
+
+
+ITEM = r"(?:\d+\.|[-*]|>|#{1,6}\s)"
+
+
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text: blocks between blank lines; lines of lists, quotes and headings stand alone. Null has none."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[^\S\n]+|[^\S\n]+$", "")
+    marked = F.regexp_replace(trimmed, rf"(?m)^({ITEM}.*)$", "\x01$1\x01")
+    return F.filter(F.split(marked, "\n*\x01\n*|\n{2,}|^\n|\n$"), lambda p: p != "")

@@ -30,6 +30,31 @@ def daily(views: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return views.groupBy("day", "site").agg(F.count("*").alias("pv"), F.least(F.countDistinct("visitor"), F.lit(limits.uv_most)).alias("uv"))
 
 
+def by_site(counts: DataFrame, days: DataFrame) -> DataFrame:
+    """One row for each day of days (day): pv and uv of each of SITES from counts (day, site, pv, uv), 0 where there are none."""
+    got = days.select("day").distinct().join(counts, "day", "left").groupBy("day")
+    return got.agg(*(F.coalesce(F.max(F.when(F.col("site") == s, F.col(m))), F.lit(0)).alias(f"{s}_{m}") for s in SITES for m in ("pv", "uv")))
+
+
+#: Sites, and the lines of the daily report; the last site is left out of the total, and shown only if visited.
+SITES = ("cn", "overseas", "local")
+REPORT = ("【图谱访问日报】", "日期：%s", "", "合计（不含本地）：UV %d · PV %d", "国内站：UV %d · PV %d", "海外站：UV %d · PV %d", "本地调试：UV %d · PV %d", "", "说明：UV≈独立访客（匿名 ID），PV=页面打开次数")
+
+
+def report_text(rows: DataFrame) -> DataFrame:
+    """(day, text) of rows as by_site gives them."""
+    cn, far, near = ([F.col(f"{s}_uv"), F.col(f"{s}_pv")] for s in SITES)
+    values = {1: [F.col("day").cast("string")], 3: [cn[0] + far[0], cn[1] + far[1]], 4: cn, 5: far, 6: near}
+    lines = [F.format_string(line, *values[i]) if i in values else F.lit(line) for i, line in enumerate(REPORT)]
+    lines[6] = F.when(near[1] > 0, lines[6])
+    return rows.select("day", F.concat_ws("\n", *lines).alias("text"))
+
+
+def unsent(reports: DataFrame, sent: DataFrame, force: bool = False) -> DataFrame:
+    """Reports (day, text) of days that are not among those sent (day), or all if forced: a daily run repeats nothing."""
+    return reports if force else reports.join(sent.select("day").distinct(), "day", "left_anti")
+
+
 def last_path(views: DataFrame) -> DataFrame:
     return views.groupBy("day", "site").agg(F.max_by("path", F.struct("ts", "event_id")).alias("path"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
@@ -35,3 +35,21 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)))
     whole = F.struct(*[c for c in both.columns])
     return both.groupBy(key).agg(F.max_by(whole, F.struct(order, "_n")).alias("_r")).select("_r.*").drop("_n")
+
+
+def with_front_matter(body: Column, **fields: Column) -> Column:
+    """A note with its fields in front."""
+    lines = [F.concat(F.lit(f"{name}: "), value.cast("string")) for name, value in fields.items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.regexp_replace(body, r"(?U)^\s+|\s+$", ""), F.lit("\n"))
+
+
+def notes_sink(rows: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One row for each note as text files, in a folder for each name."""
+    rows.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path, lineSep="\n")
+
+
+def restated(graph: DataFrame, sources: DataFrame, at: str) -> DataFrame:
+    """A graph document (public_sources, stats, ...) with its sources and what counts them put in anew; the rest stays."""
+    fresh = sources.agg(F.sort_array(F.collect_list(F.struct(*sources.columns))).alias("s"), F.count("*").alias("n"), F.count_if("readable").alias("r"))  # a graph's sources: one row of it
+    stats = F.col("stats").withField("public_sources", F.col("n")).withField("public_sources_readable", F.col("r"))
+    return graph.crossJoin(fresh).withColumns({"public_sources": F.col("s"), "stats": stats, "generated_at": F.lit(at)}).drop("s", "n", "r")

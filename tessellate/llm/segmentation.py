@@ -8,7 +8,8 @@ already encoded by the same task are looked up.
 Unigram models: a state is the best sum of piece scores up to there (Viterbi). Models made by merges: sums of scores can't
 give their segmentation, so a state is the last piece of the encoding of the prefix. It is the one piece that ends there
 and agrees with the last piece of what is before it: two pieces agree if merging their joined text gives just them, and a
-sequence whose neighbours all agree is the encoding. Ids equal those of the sentencepiece library for both kinds.
+sequence whose neighbours all agree is the encoding. An Aho-Corasick automaton names the pieces that end at a place. Ids equal
+those of the sentencepiece library for both kinds.
 
 Characters without a piece fall back to their UTF-8 bytes; U+2581 in a text is encoded so, so every text comes back exactly
 (the library would turn it into a space). Null texts are encoded like empty ones, to no ids. Repeated rows get equal ids. An
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -89,11 +90,22 @@ class Pieces:
         self.score = {p: (sp.get_score(i), i) for i, p in enumerate(names) if not special[i]}
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.lost = min(s for s, _ in self.score.values()) - 10
-        self.tails = {p[i:]: False for p in self.score for i in range(len(p))} | dict.fromkeys(self.score, True)
+        self.value = {p: score for p, (score, _) in self.score.items()}
         self.by_merges = model_kind(model) == 2
-        self.agreed: dict[str, dict[str, bool]] = {}
-        self.elder: dict[str, dict[str, bool]] = {}
-        self.held = 0
+        self.names = names
+        self.length = [len(x) for x in names]
+        self.single = {p: i for p, (_, i) in self.score.items() if len(p) == 1}
+        self.agreed: dict[int, bool] = {}
+        self.elder: dict[int, bool] = {}
+        if self.by_merges:
+            import ahocorasick
+
+            self.ends = ahocorasick.Automaton()
+            for p, (_, i) in self.score.items():
+                self.ends.add_word(p, (i, len(p)))
+            self.ends.make_automaton()
+        else:
+            self.tails = {p[i:]: False for p in self.score for i in range(len(p))} | dict.fromkeys(self.score, True)
         self.reached: dict[str, bool] = {}
         raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
@@ -101,7 +113,9 @@ class Pieces:
 
     def encode(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Ids of marked words given in sorted order."""
-        settle = self._last_pieces if self.by_merges else self._best_pieces
+        return self._by_last_pieces(words) if self.by_merges else self._by_best_scores(words)
+
+    def _by_best_scores(self, words: Iterable[str]) -> Iterator[list[int]]:
         best: list[float] = [0.0]
         pieces: list[str] = [""]  # for each depth the last piece
         last = ""
@@ -110,22 +124,22 @@ class Pieces:
             while k < most and word[k] == last[k]:
                 k += 1
             del best[k + 1 :], pieces[k + 1 :]
-            settle(word, k + 1, best, pieces)
+            self._best_pieces(word, k + 1, best, pieces)
             last = word
             ids: list[int] = []
             end = len(word)
             while end:
                 piece = pieces[end]
                 found = self.score.get(piece)
-                if found is None:
-                    raw = MARK.encode() if piece == LITERAL else piece.encode("utf-8")
-                    ids.extend(self.byte[b] for b in reversed(raw))
-                else:
-                    ids.append(found[1])
+                ids.extend([found[1]] if found else self._bytes_of(piece))
                 end -= len(piece)
             ids.reverse()
             yield ids
 
+    def _bytes_of(self, char: str) -> list[int]:
+        """Ids of a character without a piece, last byte first."""
+        return [self.byte[b] for b in reversed((MARK if char == LITERAL else char).encode("utf-8"))]
+
     def _best_pieces(self, word: str, first: int, best: list[float], pieces: list[str]) -> None:
         for end in range(first, len(word) + 1):
             top, how = -1e300, ""
@@ -141,40 +155,61 @@ class Pieces:
             best.append(top)
             pieces.append(how)
 
-    def _last_pieces(self, word: str, first: int, best: list[float], pieces: list[str]) -> None:
-        tails, agreed = self.tails.get, self.agreed.get
-        for end in range(first, len(word) + 1):
-            how = word[end - 1]
-            for start in range(end - 1, -1, -1):
-                part = word[start:end]
-                whole = tails(part)
-                if whole is None:
-                    break
-                if whole:
-                    left = pieces[start]
-                    row = agreed(left)
-                    fine = row.get(part) if row is not None else None
-                    if fine is None:
-                        fine = self._agree(left, part)
-                        agreed = self.agreed.get
-                    if fine:  # no other piece can end here
-                        how = part
-                        break
-            best.append(0.0)
-            pieces.append(how)
+    def _by_last_pieces(self, words: Iterable[str]) -> Iterator[list[int]]:
+        n = len(self.names)  # from n on: characters without a piece, and at last the start
+        start = n + 0x110000
+        pieces = [start]  # for each depth the last piece
+        last = ""
+        agreed, single, length = self.agreed, self.single.get, self.length
+        for word in words:
+            k, most = 0, min(len(word), len(last))
+            while k < most and word[k] == last[k]:
+                k += 1
+            del pieces[k + 1 :]
+            last = word
+            depth = k  # how far all is settled
+            for at, (piece, size) in self.ends.iter(word):  # longer pieces first where several end
+                if at < depth:
+                    continue
+                while depth < at:  # no piece agrees there: the character alone
+                    pieces.append(single(word[depth], n + ord(word[depth])))
+                    depth += 1
+                pair = pieces[at + 1 - size] * n + piece
+                fine = agreed.get(pair)
+                if fine is None:
+                    fine = self._agree(pair, pieces[at + 1 - size], piece)
+                    agreed = self.agreed
+                if fine:  # no other piece can end here
+                    pieces.append(piece)
+                    depth += 1
+            while depth < len(word):
+                pieces.append(single(word[depth], n + ord(word[depth])))
+                depth += 1
+            ids: list[int] = []
+            while depth:
+                piece = pieces[depth]
+                if piece < n:
+                    ids.append(piece)
+                    depth -= length[piece]
+                else:
+                    ids.extend(self._bytes_of(chr(piece - n)))
+                    depth -= 1
+            ids.reverse()
+            yield ids
 
-    def _agree(self, left: str, right: str) -> bool:
-        if self.held >= PAIRS:
-            self.elder, self.agreed, self.held = self.agreed, {}, 0
-        found = self.elder.get(left, {}).get(right)
+    def _agree(self, pair: int, left: int, right: int) -> bool:
+        if len(self.agreed) >= PAIRS:
+            self.elder, self.agreed = self.agreed, {}
+        found = self.elder.get(pair)
         if found is None:
-            both = left + right
-            if left and both in self.score and self._whole(both):
+            n = len(self.names)
+            first, second = "" if left == n + 0x110000 else self.names[left] if left < n else chr(left - n), self.names[right]
+            both = first + second
+            if first and both in self.score and self._whole(both):
                 found = False
             else:
-                found = self.merged(both) == [x for x in (left, right) if x]
-        self.agreed.setdefault(left, {})[right] = found
-        self.held += 1
+                found = self.merged(both) == [x for x in (first, second) if x]
+        self.agreed[pair] = found
         return found
 
     def _whole(self, piece: str) -> bool:
@@ -185,13 +220,17 @@ class Pieces:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging neighbours, the best score first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            found = [(-self.score[x][0], i) for i, x in enumerate(map("".join, zip(parts, parts[1:]))) if x in self.score]
-            if not found:
-                break
-            i = min(found)[1]
+        parts, none = list(text), -1e300
+        value = self.value.get
+        gains = [value(x + y, none) for x, y in zip(parts, parts[1:])]
+        while gains and (most := max(gains)) > none:
+            i = gains.index(most)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i < len(gains):
+                gains[i] = value(parts[i] + parts[i + 1], none)
+            if i:
+                gains[i - 1] = value(parts[i - 1] + parts[i], none)
         return parts
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -201,7 +240,7 @@ class Pieces:
 
 
 def encoded(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, n_words (marked words), n_tokens, ids_sha256 (of the ids as little-endian int32),
+    """One row per row of docs: doc_id, n_words (marked words), n_tokens, ids_sha256 (of the ids as int32 of the machine, little-endian on all it runs on),
     decoded_sha256, exact (decoding gives the text back) and, if asked for, ids. No shuffle."""
     fields = "doc_id long, n_words long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + ", ids array<int>" * with_ids
 
@@ -218,7 +257,7 @@ def encoded(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
             known |= {w: elder[w] for w in asked & elder.keys()}
             fresh = sorted(asked - known.keys())
             for word, ids in zip(fresh, pieces.encode(fresh)):
-                known[word] = struct.pack(f"<{len(ids)}i", *ids)
+                known[word] = array("i", ids).tobytes()
             packed = [b"".join([known[w] for w in x]) for x in words]
             whole = [pieces.decode(np.frombuffer(x, np.int32)) for x in packed]
             columns = [

@@ -11,7 +11,7 @@ MOST_ROUNDS = 60
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) for every node that has an edge to another; component is the smallest node it reaches.
+    """(node, component) for every node that reaches a smaller one; component is the smallest it reaches, and has no row itself.
 
     edges: two long columns a, b in any order, repeats and loops allowed. Each round points every node at the least of its
     neighbours, so trees flatten in about log(diameter) rounds; rounds are written to the shared folder, so none is ever

@@ -231,10 +231,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
     rows = base.written(fingerprints(docs, size), "simhash")
     classes = base.written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = components(links(classes.select("fp"), hot), "simhash-links")
-    # written, so that both sides of the joins are plain exchanges, which split where a component is large
-    linked = base.written(classes.join(found, classes.fp == found.node).select("fp", "component", "least"), "simhash-linked")
-    ids = base.written(linked.groupBy("component").agg(F.min("least").alias("component_id")).filter("component_id IS NOT NULL"), "simhash-ids")
-    named = classes.join(linked.join(ids, "component").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that both sides of the join are plain exchanges, which split where a component is large
+    whole = base.written(classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"), "simhash-components")
+    ids = base.written(whole.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-ids")
+    named = whole.join(ids, "component").select("fp", "component_id")
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 

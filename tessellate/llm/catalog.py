@@ -7,6 +7,7 @@ from .licences import op4_licence_sentences
 from .mixing import op9_source_mixing
 from .piecewise import op2_piecewise_fingerprint
 from .quality import op6_quality_gam
+from .repetition import SQL as REPETITION
 from .repetition import op1_suffix_repetition
 from .segmentation import op8_shared_prefix_viterbi
 from .simhash import op3_simhash_trie
@@ -21,4 +22,5 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+#: The others' fingerprints, models, permutations and byte strings are beyond SQL, or too slow in it over whole tables.
+SQL: dict[str, str] = {"op1_suffix_repetition": REPETITION}

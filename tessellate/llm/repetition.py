@@ -133,3 +133,19 @@ def repetition(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float =
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(base.documents(spark, sf_dir)).drop("longest_repeat")
+
+
+# Windows of 3, 10 and 101 words by their hashes: repeats of as many words and more cover what the windows cover.
+SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+a AS (SELECT doc_id, n, i, w, CASE WHEN i <= n - 2 THEN hash(w, lead(w, 1) OVER o, lead(w, 2) OVER o) END AS h3, CASE WHEN i <= n - {MIN_WORDS - 1} THEN hash({", ".join(f"lead(w, {j}) OVER o" for j in range(MIN_WORDS))}) END AS h10 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, CASE WHEN i <= n - {MAX_LONGEST} THEN hash({", ".join(f"lead(h10, {j}) OVER o" for j in range(0, MAX_LONGEST, MIN_WORDS))}, lead(w, {MAX_LONGEST}) OVER o) END AS h101 FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, h3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h3) > 1 AS r3, h10 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h10) > 1 AS r10, h101 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, h101) > 1 AS r101 FROM b),
+e AS (SELECT doc_id, max(CASE WHEN r3 THEN i END) OVER l3 AS s3, max(CASE WHEN r10 THEN i END) OVER l10 AS s10, r101 FROM c
+  WINDOW l3 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), l10 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
+f AS (SELECT doc_id, count(s3) AS n_repeat_words, count(s10) AS covered_words, bool_or(r101) AS long FROM e GROUP BY 1),
+g AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(covered_words, 0) AS BIGINT) AS covered_words, coalesce(long, false) AS long FROM d LEFT JOIN f USING (doc_id)),
+h AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM g)
+SELECT * EXCLUDE (long), NOT base_failed AND covered_words <= CAST({MAX_COVERED} AS DOUBLE) * n_words AND NOT long AS kept FROM h"""

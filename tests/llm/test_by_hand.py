@@ -139,3 +139,21 @@ def test_a_long_text_and_an_empty_step(spark):
     got = {r.doc_id: r for r in repetition.repetition(rows).collect()}
     assert (got[1].n_words, got[1].n_repeat_words, got[2].n_words, got[3].kept) == (400_000, 400_000, 0, False)
     assert {r.doc_id: r.fingerprint for r in piecewise.fingerprints(rows).select("doc_id", F.substring("fingerprint", 1, 3).alias("fingerprint")).collect()}[2] == "0::"
+
+
+def test_sql_states_the_repetition_query(spark):
+    from pathlib import Path
+
+    from tessellate.llm import catalog
+
+    duckdb = pytest.importorskip("duckdb")
+    tables = Path("/root/testdata/sf0.001")
+    if not tables.exists():
+        pytest.skip("no tables")
+    made = duckdb.connect()
+    made.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
+    for name, sql in catalog.SQL.items():
+        got, want = catalog.QUERIES[name](spark, str(tables)).toPandas(), made.execute(sql).df()
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want[columns].itertuples(index=False, name=None))

@@ -115,7 +115,7 @@ s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY grp ORDER BY rank ROWS BET
 SELECT grp, doc_id, CAST(rank AS INTEGER) AS rank, size, CAST(least(size, 30000 - before) AS BIGINT) AS kept FROM s WHERE before < 30000""")
 def context_budget_pack(spark, d):
     rows = table(spark, d, "documents").select(F.col("source").alias("grp"), "doc_id", (F.length("text") + F.length("source") + 12).cast("long").alias("size"))
-    return retrieval.packed(rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))), 30_000)
+    return retrieval.packed(rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))), 30_000, least=12)  # 12: the header of each
 
 
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

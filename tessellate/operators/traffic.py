@@ -68,12 +68,15 @@ def changed_paths(views: DataFrame) -> DataFrame:
 def sliding(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Requests (user_id, event_id, ts) with counts of the day and of the window up to them, and whether they pass.
 
-    Denied requests count. A user's requests of a day are one window partition: no user's whole history is held at once.
+    Denied requests count. Windows are counted in pieces of a window's length, each with a copy of the piece before it, and days
+    one by one, so no user's whole history is one partition.
     """
     ms = requests.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("day", F.to_date("ts"))
-    near = F.count("*").over(Window.partitionBy("user_id").orderBy("ms").rangeBetween(-(limits.window_ms - 1), 0))
     today = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ms", "event_id"))
-    out = ms.withColumn("in_window", near).withColumn("in_day", today.cast("long"))
+    counted = ms.withColumn("in_day", today.cast("long")).withColumn("_b", F.floor(F.col("ms") / limits.window_ms))
+    copies = counted.withColumn("_p", F.explode(F.array(F.struct(F.col("_b").alias("at"), F.lit(True).alias("own")), F.struct((F.col("_b") + 1).alias("at"), F.lit(False).alias("own")))))
+    near = F.count("*").over(Window.partitionBy("user_id", "_p.at").orderBy("ms").rangeBetween(-(limits.window_ms - 1), 0))
+    out = copies.withColumn("in_window", near).filter("_p.own").drop("_b", "_p")
     return out.withColumn("verdict", F.when(F.col("in_day") > limits.per_day, "daily_limit").when(F.col("in_window") > limits.per_minute, "minute_limit").otherwise("ok"))
 
 

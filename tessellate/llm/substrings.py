@@ -1,4 +1,4 @@
-"""Exact substring dedup: bytes under any string of LENGTH bytes that starts at two places or more.
+"""Exact substring dedup: bytes under any string of a given length (LENGTH bytes) that starts at two places or more.
 
 Anchors. In each window of LENGTH bytes the least-hashed 8-byte gram among its first SPAN starts (leftmost of equals) is
 the window's anchor. It depends on the window's content alone, so equal windows have equal anchors at equal offsets, and
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from . import base
 
 LENGTH = 400
+#: Starts among which an anchor is chosen; under 128 and under the length.
 SPAN = 100
-CORE = LENGTH - SPAN + 1
 #: Window starts that are looked at together; a longer text is looked at in parts.
 PART = 1 << 19
 #: Suffixes that are sorted together. Groups (a core and a place in it) are sorted whole, in as many goes as this asks for.
@@ -64,33 +64,33 @@ class Prefix:
         return (self.total[end] - self.total[start]) * self.back[start]
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text, anchor, first window, last window, core hash, context hash) of each anchor; places count within the buffer."""
     size = np.diff(at)
     out = []
-    long = np.flatnonzero(size >= LENGTH)
+    long = np.flatnonzero(size >= length)
     starts = at[:-1][long]
-    counts = size[long] - LENGTH + 1
+    counts = size[long] - length + 1
     begin = 0
     while begin < len(long):
         if counts[begin] > PART:  # one long text, in parts
             for p in range(0, int(counts[begin]), PART):
                 n = min(PART, int(counts[begin]) - p)
-                out.append(_anchors(data, long[begin : begin + 1], starts[begin : begin + 1] + p, np.array([n])))
+                out.append(_anchors(data, long[begin : begin + 1], starts[begin : begin + 1] + p, np.array([n]), length))
             begin += 1
             continue
         end = begin + 1
         while end < len(long) and starts[end] + counts[end] - starts[begin] <= PART:
             end += 1
-        out.append(_anchors(data, long[begin:end], starts[begin:end], counts[begin:end]))
+        out.append(_anchors(data, long[begin:end], starts[begin:end], counts[begin:end], length))
         begin = end
     if not out:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _anchors(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    low, high = int(starts[0]), int(starts[-1] + counts[-1]) + LENGTH - 1
+def _anchors(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    low, high = int(starts[0]), int(starts[-1] + counts[-1]) + length - 1
     part = data[low:high]
     n = len(part)
     gram = np.zeros(n, np.uint64)
@@ -113,8 +113,8 @@ def _anchors(data: np.ndarray, texts: np.ndarray, starts: np.ndarray, counts: np
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(where)) - 1
     first, last, anchor, owner = where[begins], where[ends], anchor[begins], owner[begins]
-    core = base.mix64(Prefix(part, BYTES1, ODD1).of(anchor, anchor + CORE))
-    context = base.mix64(Prefix(part, BYTES2, ODD2).of(first, last + LENGTH) + (last - first).astype(np.uint64))
+    core = base.mix64(Prefix(part, BYTES1, ODD1).of(anchor, anchor + length - SPAN + 1))
+    context = base.mix64(Prefix(part, BYTES2, ODD2).of(first, last + length) + (last - first).astype(np.uint64))
     return owner, anchor + low, first + low, last + low, core, context
 
 
@@ -170,7 +170,7 @@ def sort_suffixes(data: np.ndarray, prefix: Prefix, suffixes: np.ndarray, bounds
     return order
 
 
-def window_classes(data: np.ndarray, starts: np.ndarray, core: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_classes(data: np.ndarray, starts: np.ndarray, core: np.ndarray, offset: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of equal windows of one buffer: (index into starts in sorted order, class's first hash, second hash)."""
     by = np.lexsort((starts, offset, core))
     core, offset, starts = core[by], offset[by], starts[by]
@@ -182,14 +182,14 @@ def window_classes(data: np.ndarray, starts: np.ndarray, core: np.ndarray, offse
     number[starts] = by  # a start has one anchor, so one number
     order = np.empty(len(by), np.int64)
     same = np.zeros(len(by), bool)
-    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
     begin = 0
     while begin < len(heads) - 1:
         end = max(begin + 1, int(np.searchsorted(heads, heads[begin] + SORTED, "right")) - 1)
         low, high = heads[begin], heads[end]
-        part = sort_suffixes(data, one, starts[low:high], heads[begin : end + 1] - low, LENGTH)
+        part = sort_suffixes(data, one, starts[low:high], heads[begin : end + 1] - low, length)
         rows = np.flatnonzero(~new[low:high])
-        rows = rows[common_extension(one, part[rows - 1], part[rows], LENGTH) == LENGTH]
+        rows = rows[common_extension(one, part[rows - 1], part[rows], length) == length]
         for i in range(0, len(rows), 8192):  # verification against collisions of the hash
             r = rows[i : i + 8192]
             same[low + r] = (view[part[r - 1]] == view[part[r]]).all(1)
@@ -199,7 +199,7 @@ def window_classes(data: np.ndarray, starts: np.ndarray, core: np.ndarray, offse
     spread = np.repeat(heads, np.diff(np.append(heads, len(order))))
     lead = order[spread]
     salt = base.mix64(core + offset.astype(np.uint64))
-    return number[order], base.mix64(one.of(lead, lead + LENGTH) ^ salt), base.mix64(two.of(lead, lead + LENGTH) + salt)
+    return number[order], base.mix64(one.of(lead, lead + length) ^ salt), base.mix64(two.of(lead, lead + length) + salt)
 
 
 MARKS = "array<struct<at:long,core:long,whole:boolean,windows:boolean>>"
@@ -224,13 +224,13 @@ def _fields(marks: pa.Array) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(marks)), lengths), *(flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields))
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(rows with their key r, q; (r, q, marks, starts)): contexts covered whole, and starts of other repeated windows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
             data, at = base.utf8(part.column(2))
-            owner, anchor, first, last, core, context = anchors(data, at)
+            owner, anchor, first, last, core, context = anchors(data, at, length)
             start = at[:-1][owner]
             own = part.select([0, 1]).take(pa.array(owner))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(_pack(anchor - start, first - start, last - start)), pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["r", "q", "at", "core", "context"])
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             count = last - first + 1
             inner = base.concat_ranges(first, count)
             owner = np.repeat(row, count)
-            of, one, two = window_classes(data, inner + at[:-1][owner], np.repeat(core, count).view(np.uint64), np.repeat(anchor, count) - inner)
+            of, one, two = window_classes(data, inner + at[:-1][owner], np.repeat(core, count).view(np.uint64), np.repeat(anchor, count) - inner, length)
             own = part.select([0, 1]).take(pa.array(owner[of]))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(inner[of].astype(np.int32)), pa.array(np.where(np.repeat(whole, count)[of], 2, 1).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["r", "q", "s", "n", "one", "two"])
 
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, spans
 
 
-def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array) -> np.ndarray:
+def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array, length: int) -> np.ndarray:
     """Which bytes go, by whole contexts and starts of single windows."""
     change = np.zeros(len(data) + 1, np.int32)
     for column, shape in ((marks, _unpack), (starts, lambda s: (None, s, s))):
@@ -285,14 +285,14 @@ def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array) -
         _, first, last = shape(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
         start = np.repeat(at[:-1], lengths)
         np.add.at(change, start + first, 1)
-        np.add.at(change, start + last + LENGTH, -1)
+        np.add.at(change, start + last + length, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def cut_documents(docs: DataFrame) -> DataFrame:
+def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the bytes under repeated strings cut out of text (what is no longer UTF-8 at a cut is left out too) and, if
     there, n_chars counted anew."""
-    _, spans = repeated_spans(docs)
+    _, spans = repeated_spans(docs, length)
     names, schema = docs.columns, docs.schema
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
     r, q, marks, starts = base.fresh(names, "r", "q", "marks", "starts")
@@ -300,7 +300,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
             data, at = base.utf8(part.column(text))
-            gone = _gone(data, at, part.column(len(names)), part.column(len(names) + 1))
+            gone = _gone(data, at, part.column(len(names)), part.column(len(names) + 1), length)
             kept = [x.decode("utf-8", "ignore") for x in base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))]
             columns = list(part.columns[: len(names)])
             columns[text] = pa.array(kept, pa.string())
@@ -314,14 +314,14 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     return placed.select(*[F.col(f"`{c}`") for c in names], marks, starts).mapInArrow(run, schema)
 
 
-def cut(docs: DataFrame, spans_of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs: r, q, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text)."""
-    rows, spans = spans_of or repeated_spans(docs)
+    rows, spans = repeated_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
             data, at = base.utf8(part.column(3))
-            gone = _gone(data, at, part.column(4), part.column(5))
+            gone = _gone(data, at, part.column(4), part.column(5), length)
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             heads = at[:-1][np.diff(at) > 0]

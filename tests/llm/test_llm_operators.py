@@ -140,15 +140,16 @@ def test_simhash_fingerprint(spark, prose):
         assert int(fp) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_substrings(spark, prose):
+@pytest.mark.parametrize("n", [400, 300])
+def test_substrings(spark, prose, n):
     raw = [(t or "").encode() for t in prose]
-    seen = Counter(x[i : i + 400] for x in raw for i in range(len(x) - 399))
-    got = {r.doc_id: r for r in substrings.cut(frame(spark, prose)).collect()}
+    seen = Counter(x[i : i + n] for x in raw for i in range(len(x) - n + 1))
+    got = {r.doc_id: r for r in substrings.cut(frame(spark, prose), n).collect()}
     for d, x in enumerate(raw):
         gone = np.zeros(len(x) + 2, bool)
-        for i in range(len(x) - 399):
-            if seen[x[i : i + 400]] > 1:
-                gone[i + 1 : i + 401] = True
+        for i in range(len(x) - n + 1):
+            if seen[x[i : i + n]] > 1:
+                gone[i + 1 : i + n + 1] = True
         kept = bytes(b for b, g in zip(x, gone[1:]) if not g)
         want = (len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == want

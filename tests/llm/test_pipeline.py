@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessellate.llm import base, language, mixing, nearcopies, segmentation, substrings
+from tessellate.llm import base, language, mixing, nearcopies, segmentation
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = {"en": ["the", "ing", "and", "tion", "wh"], "de": ["sch", "ein", "ung", "der", "ß"]}
@@ -99,7 +99,7 @@ def test_near_duplicates(spark, docs, rows):
 
 def test_substrings(spark, docs, rows):
     raw = [(t or "").encode() for _, t, *_ in rows]
-    n = substrings.LENGTH
+    n = corpus_pipeline.REPEATED
     seen = Counter(x[i : i + n] for x in raw for i in range(len(x) - n + 1))
     want = Counter()
     for (doc_id, *_), x in zip(rows, raw):

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .config import Retrieval
+from .config import Chunks, Retrieval
 from .functions import markdown as M
 from .functions import text as T
-from .operators import chunking, conversation, feedback, graph, limiters, lists, ranking, retrieval, traffic
+from .operators import chunking, conversation, feedback, graph, limiters, ranking, retrieval, traffic
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,9 +267,18 @@ def required_fields(spark, d):
     return rows.select("doc_id", F.concat_ws(",", *(F.when(F.col(c).isNull(), c) for c in ("quality", "toxic"))).alias("missing"))
 
 
-@query()
+# no text of the tables has a blank line: each is one paragraph, cut at its sentences if it is long
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')),
+p AS (SELECT doc_id, CASE WHEN length(t) <= 2000 THEN [t] ELSE regexp_extract_all(t, '(?s)[^。！？；.!?;]*[。！？；.!?;]|[^。！？；.!?;]+$') END AS p FROM d), l AS (SELECT doc_id, list_transform(p, lambda x: length(x)) AS l FROM p),
+s AS (SELECT doc_id, 1 AS i, l[1] AS size, 0 AS c FROM l UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN size >= 1200 AND size + l[i + 1] > 2000 THEN l[i + 1] ELSE size + l[i + 1] END, c + CAST(size >= 1200 AND size + l[i + 1] > 2000 AS INT) FROM s JOIN l USING (doc_id) WHERE i < len(l)),
+u AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p), g AS (SELECT doc_id, c, string_agg(x, '' ORDER BY i) AS x FROM s JOIN u USING (doc_id, i) GROUP BY ALL),
+e AS (SELECT doc_id, c, CASE WHEN c = m THEN regexp_replace(x, '^\s+|\s+$', '', 'g') ELSE x END AS x, m FROM (SELECT *, max(c) OVER (PARTITION BY doc_id) AS m FROM g)),
+f AS (SELECT doc_id, c, m, x, lead(x) OVER (PARTITION BY doc_id ORDER BY c) AS after FROM e WHERE x <> ''),
+k AS (SELECT doc_id, c, CASE WHEN after IS NOT NULL AND c = m - 1 AND 2 * length(after) < 1200 THEN x || chr(10) || chr(10) || after ELSE x END AS x FROM f WHERE NOT (c = m AND m > 0 AND 2 * length(x) < 1200))
+SELECT doc_id, CAST(c AS INTEGER) AS chunk_index, CAST(length(x) AS INTEGER) AS content_length, sha256(x) AS digest FROM k""")
 def paragraph_chunks(spark, d):
-    return chunking.chunked(table(spark, d, "documents")).select("doc_id", "chunk_index", "content_length", F.sha2("content", 256).alias("digest"))
+    return chunking.chunked(table(spark, d, "documents"), Chunks(ends="。！？；.!?;")).select("doc_id", "chunk_index", "content_length", F.sha2("content", 256).alias("digest"))
 
 
 @query(r"""WITH r AS (SELECT event_id, lower(trim(upper(event_type))) AS site, trim('graph/' || json_extract_string(props, '$.k') || ' ') AS p, substr(repeat(CAST(user_id AS VARCHAR), 3), 1, 80) AS vid FROM events)
@@ -450,10 +459,4 @@ def circuit_breaker(spark, d):
     return limiters.limited(_requests(spark, d), limiters.breaker(2, 86_400_000))
 
 
-@query()
-def answer_lists(spark, d):
-    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lists.lists_repaired(F.col("text")).alias("text"))
-
-
-
 from . import catalog_site  # noqa: E402, F401  (registers its queries)

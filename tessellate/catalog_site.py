@@ -11,7 +11,7 @@ from .config import Limits
 from .functions import html, policy
 from .functions import markdown as M
 from .functions import text as T
-from .operators import conversation, graph, privacy, ranking, requests, traffic
+from .operators import conversation, graph, lists, privacy, ranking, requests, traffic
 from .sources import sinks, tables
 from .sources.tables import table
 
@@ -22,6 +22,11 @@ QUESTIONS = (
 )
 ANSWERS = (("建议服用 3 克", True), ("每日3片", True), ("经典记载如下", False), ("你需要10克", True), ("可以艾灸足三里穴", True), ("plain words", False))
 URGENT = "救命"
+#: Answers with lists, and what becomes of them; | stands for a line end.
+LISTED = (
+    ("1. a|1. b|1. c", "1. a|2. b|3. c"), ("1. a|words|1. b", "1. a|words|2、 b"), ("# h|1. a|# g|1. b", "# h|1. a|# g|1. b"), ("```|1. a|1. b|```|1. c", "```|1. a|1. b|```|1. c"),
+    ("1. a|  1. x|  1. y|1. b", "1. a|  1. x|  2. y|2. b"), ("3. a|1. b", "3. a|4. b"), ("no list", "no list"),
+)
 
 
 def values(rows) -> str:
@@ -53,6 +58,13 @@ def question_routing(spark, d):
     return requests.replies(_asked(spark, d))
 
 
+@query(f"WITH a(i, text, shown) AS (VALUES {values(LISTED)}) SELECT conv_id, turn, replace(shown, '|', chr(10)) AS text FROM conversations JOIN a ON a.i = (conv_id * 5 + turn) % {len(LISTED)} WHERE role = 'assistant'")
+def answer_lists(spark, d):
+    n = F.col("conv_id") * 5 + F.col("turn")
+    given = F.element_at(F.array(*(F.lit(a.replace("|", "\n")) for a, _ in LISTED)), (n % len(LISTED) + 1).cast("int"))
+    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lists.lists_repaired(given).alias("text"))
+
+
 def _intake(spark, d) -> DataFrame:
     turns = table(spark, d, "conversations")
     whole = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))

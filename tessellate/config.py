@@ -38,3 +38,5 @@ class Limits:
 class Chunks:
     least: int = 1200
     most: int = 2000
+    #: Marks after which a paragraph that is too long may be cut.
+    ends: str = "。！？；"

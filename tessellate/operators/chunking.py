@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 from ..config import Chunks
 
 BLANK = re.compile(r"\n\n+")
-SENTENCE = re.compile(r"(?<=[。！？；])")
 
 
-def units(text: str, most: int) -> Iterator[tuple[str, str, bool]]:
+def units(text: str, settings: Chunks) -> Iterator[tuple[str, str, bool]]:
     """(piece, what joins it to the piece before, whether a chunk must start here).
 
     A paragraph is a piece; one over `most` characters gives its sentences, the first of which starts a chunk.
     """
+    sentence = re.compile(f"(?<=[{re.escape(settings.ends)}])")
     for paragraph in filter(None, map(str.strip, BLANK.split(text))):
-        if len(paragraph) <= most:
+        if len(paragraph) <= settings.most:
             yield paragraph, "\n\n", False
         else:
-            for n, sentence in enumerate(SENTENCE.split(paragraph)):
+            for n, sentence in enumerate(sentence.split(paragraph)):
                 yield sentence, "", n == 0
 
 
@@ -36,7 +36,7 @@ def chunks(text: str, settings: Chunks = Chunks()) -> list[str]:
     done: list[str] = []
     held: list[str] = []
     size = 0
-    for piece, glue, start in units(text, settings.most):
+    for piece, glue, start in units(text, settings):
         over = size + len(glue) + len(piece) > settings.most and size >= settings.least
         if held and (start or over):
             done.append("".join(held))

@@ -111,7 +111,8 @@ RULES = (
 CUT = re.compile(r"(?>\r\n?|\n)[^\w\r\n]*(?>\r\n?|\n)|(?<=[.!?;:])(?<!\sv\.)\s+")
 NOT_WORD = re.compile(r"[^\w.]+|\.(?!\d)|(?<!\d)\.")
 ABOUT = re.compile(r"licen[cs]|copyright|\brights\b|redistribut|warrant|permission", re.I)
-ANY = re.compile("|".join(sorted({s.split()[-1] for s in SENTENCES})) + "|licen[cs]|copyright|redistribut|warrant|permission", re.I)
+#: The longest word of each known sentence: a text without any of them has no known sentence.
+ANY = re.compile("|".join(sorted({max(s.split(), key=len) for s in SENTENCES})), re.I)
 KNOWN = sorted(SENTENCES.items(), key=lambda x: (-len(x[0]), x[0]))
 FIND = re.compile(r"\b(" + "|".join(re.escape(s) for s, _ in KNOWN) + r")\b")
 

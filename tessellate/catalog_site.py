@@ -22,6 +22,11 @@ QUESTIONS = (
 )
 ANSWERS = (("建议服用 3 克", True), ("每日3片", True), ("经典记载如下", False), ("你需要10克", True), ("可以艾灸足三里穴", True), ("plain words", False))
 URGENT = "救命"
+#: Questions, the tokens that their topics add, the entities they name, and whether they ask for a chart.
+LOOKUPS = (
+    ("紫微星怎么安紫微", "天纪;天机道;人间道;地脉道;斗数;易经;六十四卦;风水;八字;四柱;命理;十神;五行", "紫微星", True), ("针法", "针灸;灸法;经络;穴位;针灸大成", "", False),
+    ("紫薇星，七杀星", "天纪;天机道;人间道;地脉道;斗数;易经;六十四卦;风水;八字;四柱;命理;十神;五行", "紫微星;七杀星", False), ("学习顺序", "", "", False),
+)
 #: Answers with lists, and what becomes of them; | stands for a line end.
 LISTED = (
     ("1. a|1. b|1. c", "1. a|2. b|3. c"), ("1. a|words|1. b", "1. a|words|2、 b"), ("# h|1. a|# g|1. b", "# h|1. a|# g|1. b"), ("```|1. a|1. b|```|1. c", "```|1. a|1. b|```|1. c"),
@@ -65,6 +70,14 @@ def answer_lists(spark, d):
     return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lists.lists_repaired(given).alias("text"))
 
 
+@query(f"WITH a(i, text, extra, entities, lookup) AS (VALUES {values(LOOKUPS)}) SELECT conv_id * 100 + turn AS query_id, extra, entities, lookup FROM conversations JOIN a ON a.i = (conv_id * 5 + turn) % {len(LOOKUPS)} WHERE role = 'user'")
+def query_expansion(spark, d):
+    n = F.col("conv_id") * 5 + F.col("turn")
+    asked = F.element_at(F.array(*(F.lit(r[0]) for r in LOOKUPS)), (n % len(LOOKUPS) + 1).cast("int"))
+    rows = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), asked.alias("query"))
+    return ranking.parsed(rows).select("query_id", F.array_join("extra", ";").alias("extra"), F.array_join("entities", ";").alias("entities"), "lookup")
+
+
 def _intake(spark, d) -> DataFrame:
     turns = table(spark, d, "conversations")
     whole = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))

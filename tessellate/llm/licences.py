@@ -110,9 +110,12 @@ RULES = (
 )
 CUT = re.compile(r"(?>\r\n?|\n)[^\w\r\n]*(?>\r\n?|\n)|(?<=[.!?;:])(?<!\sv\.)\s+")
 NOT_WORD = re.compile(r"[^\w.]+|\.(?!\d)|(?<!\d)\.")
-ABOUT = re.compile(r"licen[cs]|copyright|\brights\b|redistribut|warrant|permission", re.I)
+#: Both are looked for in lower-cased text.
+ABOUT = re.compile(r"licen[cs]|copyright|\brights\b|redistribut|warrant|permission")
 #: The longest word of each known sentence: a text without any of them has no known sentence.
-ANY = re.compile("|".join(sorted({max(s.split(), key=len) for s in SENTENCES})), re.I)
+ANY = re.compile("|".join(sorted({max(s.split(), key=len) for s in SENTENCES})))
+#: A text that holds none of these speaks of no licence and holds no known sentence.
+HINTS = tuple(sorted({max(s.split(), key=len) for s in SENTENCES} | {"licens", "licenc", "copyright", "rights", "redistribut", "warrant", "permission"}))
 KNOWN = sorted(SENTENCES.items(), key=lambda x: (-len(x[0]), x[0]))
 FIND = re.compile(r"\b(" + "|".join(re.escape(s) for s, _ in KNOWN) + r")\b")
 
@@ -124,13 +127,20 @@ def normal(sentence: str) -> str:
 def identifiers(text: str) -> list[str]:
     """Identifiers of the licence sentences of a text, in order."""
     out = []
-    for sentence in CUT.split(text):
-        if ABOUT.search(sentence) or ANY.search(sentence):
+    for sentence in CUT.split(text) if hinted(text) else ():
+        low = sentence.lower()
+        about = ABOUT.search(low)
+        if about or ANY.search(low):
             found = [SENTENCES[x] for x in FIND.findall(normal(sentence))]
-            out += found or ["?"] * bool(ABOUT.search(sentence))
+            out += found or ["?"] * bool(about)
     return out
 
 
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in HINTS)
+
+
 def matched(ids: list[str]) -> tuple[list[str], list[str]]:
     """(licences in order of appearance, identifiers that no rule took)."""
     left: list[tuple[str, bool]] = [(x, False) for x in ids]
@@ -148,7 +158,7 @@ def licences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
-            ids = [identifiers(t) if t and (ABOUT.search(t) or ANY.search(t)) else [] for t in part.column(1).to_pylist()]
+            ids = [identifiers(t or "") for t in part.column(1).to_pylist()]
             found = [matched(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([";".join(x) for x in ids], pa.string()), pa.array([";".join(x) for x, _ in found], pa.string()), pa.array([len(x) for _, x in found], pa.int64())],

@@ -126,7 +126,7 @@ def plainly(text):
             hit = next((s for s in sorted(licences.SENTENCES, key=lambda s: (-len(s), s)) if words[at : at + len(s.split())] == s.split()), None)
             found += [licences.SENTENCES[hit]] if hit else []
             at += len(hit.split()) if hit else 1
-        out += found or ["?"] * bool(licences.ABOUT.search(sentence))
+        out += found or ["?"] * bool(licences.ABOUT.search(sentence.lower()))
     return out
 
 

@@ -91,7 +91,7 @@ def document_frequency_pruned(spark, d):
 
 @query(f"WITH {TF}, df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2) SELECT token, doc_id, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df FROM tf JOIN df USING (token)")
 def postings(spark, d):
-    return retrieval.with_frequency(retrieval.postings(table(spark, d, "documents"))).select("token", "doc_id", "tf", "df")
+    return retrieval.indexed(table(spark, d, "documents"))
 
 
 @query(f"WITH dl AS (SELECT len({WORDS}) AS dl FROM documents) SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(dl) AS BIGINT) AS tokens, floor(avg(dl) * 100 + 0.5) / 100 AS avg_length FROM dl")

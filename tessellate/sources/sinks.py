@@ -15,7 +15,7 @@ def corpus_sink(rows: DataFrame, path: str, group: str = "source_group") -> None
 
 def index_sink(docs: DataFrame, path: str) -> None:
     """postings (token, doc_id, tf, df), sorted by token within files, so that a token's row groups are found by their bounds; and lengths."""
-    joined = retrieval.with_frequency(retrieval.postings(docs), parts=retrieval.PARTS).select("token", "doc_id", "tf", "df")
+    joined = retrieval.indexed(docs, parts=retrieval.PARTS)
     joined.repartition("token", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     retrieval.lengths(docs).write.mode("overwrite").parquet(f"{path}/lengths")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .language import op5_language_centroids
 from .licences import op4_licence_sentences
+from .lines import SQL as LINES
+from .lines import op12_line_runs
 from .mixing import op9_source_mixing
 from .piecewise import op2_piecewise_fingerprint
 from .quality import op6_quality_gam
@@ -18,9 +20,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_piecewise_fingerprint, op3_simhash_trie, op4_licence_sentences, op5_language_centroids, op6_quality_gam,
-        op7_substring_dedup, op8_shared_prefix_viterbi, op9_source_mixing, op10_toxicity_counterfactual,
+        op7_substring_dedup, op8_shared_prefix_viterbi, op9_source_mixing, op10_toxicity_counterfactual, op12_line_runs,
     )
 }
 
 #: The others' fingerprints, models, permutations and byte strings are beyond SQL, or too slow in it over whole tables.
-SQL: dict[str, str] = {"op1_suffix_repetition": REPETITION}
+SQL: dict[str, str] = {"op1_suffix_repetition": REPETITION, "op12_line_runs": LINES}

@@ -15,12 +15,13 @@ from .segmentation import op8_shared_prefix_viterbi
 from .simhash import op3_simhash_trie
 from .substrings import op7_substring_dedup
 from .toxicity import op10_toxicity_counterfactual
+from .whitening import op11_tiled_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_piecewise_fingerprint, op3_simhash_trie, op4_licence_sentences, op5_language_centroids, op6_quality_gam,
-        op7_substring_dedup, op8_shared_prefix_viterbi, op9_source_mixing, op10_toxicity_counterfactual, op12_line_runs,
+        op7_substring_dedup, op8_shared_prefix_viterbi, op9_source_mixing, op10_toxicity_counterfactual, op11_tiled_whitening, op12_line_runs,
     )
 }
 

@@ -91,12 +91,12 @@ class Runs:
         return out
 
     def repeated(self) -> DataFrame:
-        """(h, g, last): the keys found in `least` rows or more."""
+        """(h, g, last): the keys found in `least` rows or more. Read without its buckets, so that a join can split hot keys."""
         runs = [run for run in self.levels if run is not None]
         while len(runs) > 1:
             runs[:2] = [self._merged(runs[0], runs[1])]
         self.levels = [None] * (len(self.levels) - 1) + runs
-        return runs[0].filter(F.col("n") >= self.least).select(*KEY, "last")
+        return self.spark.read.schema(runs[0].schema).parquet(runs[0].written_to).filter(F.col("n") >= self.least).select(*KEY, "last")
 
 
 def batches(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:

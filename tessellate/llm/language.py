@@ -2,8 +2,8 @@
 
 Texts are lower-cased; runs of letters count, any other ASCII is a space. Byte bigrams and trigrams hash to DIM dimensions;
 their vector is log(1 + count) times inverse document frequency, normalised. Document frequencies come from every training
-row; spherical k-means gives up to CENTROIDS centroids for each language on a bounded sample: the SAMPLE rows of the language
-that are least by hash of id and text, or all if it has fewer. The nearest centroid by cosine names the language. A text is
+row; spherical k-means gives up to CENTROIDS centroids for each language on a bounded sample: of the language's distinct rows (id
+and text) the SAMPLE that are least by hash, or all if it has fewer. The nearest centroid by cosine names the language. A text is
 rejected if its cosine is under the language's limit: REJECT times the REJECT_AT quantile of the sample's cosines to their own
 nearest centroid.
 
@@ -102,10 +102,10 @@ def train(docs: DataFrame, usable: Column) -> dict:
     idf = (np.log((1 + sum(counts.values())) / (1 + df)) + 1).astype(np.float32)
     if not counts:
         return {"langs": [], "idf": idf, "centres": np.zeros((0, DIM), np.float32), "owner": np.zeros(0, int), "limit": np.zeros(0)}
-    # about twice the sample by a threshold on the hash, then exactly the least of it
-    share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2.0 * (SAMPLE + 50) / n))))
-    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(5))).filter(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) < share[F.col("lang")])
-    drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= SAMPLE)
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text", F.lit(5)))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").distinct().withColumn("n", least).filter(F.col("n") <= SAMPLE).select("lang", "h")
+    drawn = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # SAMPLE rows a language
 
     def clustered(table: pa.Table) -> pa.Table:
         text = table.sort_by("h").column("text").combine_chunks()
@@ -147,6 +147,12 @@ def identify(docs: DataFrame, model: dict, prefix: str = "") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs that are not rejected, with its columns, whatever their names."""
+    rejected = base.fresh(docs.columns, "lang_pred", "score", "rejected")[2]
+    return identify(docs, model).filter(~F.col(rejected)).select(*docs.columns)
+
+
 def op5_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.documents(spark, sf_dir)
     held = F.coalesce(base.fold("doc_id", 3) == 1, F.lit(False))

@@ -137,3 +137,25 @@ def test_run(spark, docs, rows, tmp_path):
     key = lambda d, ids: (d is None, d or 0, tuple(ids))
     assert sorted(key(r.doc_id, r.ids) for r in out) == sorted(key(r.doc_id, sp.encode(r.text)) for r in texts)
     assert all(r.exact for r in out)
+
+
+def test_repeated_rows_teach_their_language(spark):
+    rng = random.Random(2)
+    prose = lambda lang, n: " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(3)) for _ in range(n))
+    one, kinds = prose("de", 60), [prose("de", 60) for _ in range(6)]
+    english = [(i, prose("en", 60), "en", "s", 0) for i in range(300)]
+    for rest in ([(None, one, "xx", "s", 0)] * 3000, [(None, kinds[i % 6], "xx", "s", 0) for i in range(6000)]):
+        docs = spark.createDataFrame(english + rest, SCHEMA).repartition(4)
+        model = language.train(docs, language.F.lit(True))
+        assert model["langs"] == ["en", "xx"]
+        found = language.identify(docs, model).groupBy("lang", "lang_pred", "rejected").count().collect()
+        assert {(r.lang, r.lang_pred, r["count"]) for r in found if not r.rejected} == {("en", "en", 300), ("xx", "xx", len(rest))}
+
+
+def test_stages_take_columns_of_the_names_they_use(spark, docs):
+    names = ["_t_rejected", "_t_no", "_t_id", "_t_th", "lang_pred", "score", "rejected", "_rejected", "h", "r", "q", "marks", "starts", "x", "k", "spans", "component", "th", "c", "keys", "at", "n"]
+    more = docs.select("*", *(language.F.lit(i % 2 == 0).alias(c) for i, c in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got, want = stage(spark, base.written(more, name), ""), stage(spark, base.written(docs, name), "")
+        assert got.columns == more.columns, name
+        assert sorted(map(repr, got.select(*docs.columns).collect())) == sorted(map(repr, want.collect())), name

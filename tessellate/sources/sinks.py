@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import retrieval
+from ..operators import stored
 
 
 def corpus_sink(rows: DataFrame, path: str, group: str = "source_group") -> None:
@@ -13,11 +13,10 @@ def corpus_sink(rows: DataFrame, path: str, group: str = "source_group") -> None
     rows.write.mode("overwrite").partitionBy(group).parquet(path)
 
 
-def index_sink(docs: DataFrame, path: str) -> None:
-    """postings (token, doc_id, tf, df), sorted by token within files, so that a token's row groups are found by their bounds; and lengths."""
-    joined = retrieval.indexed(docs, parts=retrieval.PARTS)
-    joined.repartition("token", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    retrieval.lengths(docs).write.mode("overwrite").parquet(f"{path}/lengths")
+def index_sink(docs: DataFrame, path: str, **how) -> stored.Index:
+    """The index of docs (doc_id, text), written once; what rankings read instead of the texts."""
+    stored.write(docs, path, **how)
+    return stored.Index(docs.sparkSession, path)
 
 
 def report_sink(rows: DataFrame, path: str) -> None:

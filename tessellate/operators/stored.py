@@ -65,7 +65,7 @@ def write(docs: DataFrame, path: str, settings: Retrieval = Retrieval(), least_d
     # one shuffle for the groups and for the files
     lists = dealt.repartition(parts, "bucket", "slice").groupBy("bucket", "slice", "token", "block").agg(F.max(weight).alias("most"), F.count("*").alias("held"), F.collect_list(F.struct("doc", "tf", "dl")).alias("docs"))  # BLOCK documents at most
     lists.drop("slice").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{made}/{POSTINGS}")
-    posts = spark.read.parquet(f"{made}/{POSTINGS}")
+    posts = Index(spark, made).part(POSTINGS)
     terms = posts.groupBy("bucket", "token").agg(F.sum("held").alias("df")).filter(F.col("df") >= least_df)
     terms.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{made}/{TERMS}")
     if not shared.rename(spark, made, path):
@@ -79,7 +79,13 @@ class Index:
     path: str
 
     def part(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of the index; one by buckets has no file, and so no schema of its own, if it has no row."""
+        read = self.spark.read
+        if name in (POSTINGS, TERMS):
+            doc = read.parquet(f"{self.path}/{FORWARD}").schema["doc"].dataType.simpleString()
+            lists = f"block long, most double, held long, docs array<struct<doc:{doc},tf:bigint,dl:bigint>>"
+            read = read.schema(f"token string, {lists if name == POSTINGS else 'df long'}, bucket int")
+        return read.parquet(f"{self.path}/{name}")
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """(query_id, asked, token, bucket) of queries (query_id, query)."""

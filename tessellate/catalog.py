@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .config import Chunks, Retrieval
 from .functions import markdown as M
 from .functions import text as T
+from .functions.times import millis
 from .operators import chunking, conversation, feedback, graph, limiters, ranking, retrieval, traffic
 from .sources import shared, sinks
 from .sources.tables import table
@@ -197,8 +198,8 @@ def consecutive_path_suppression(spark, d):
 
 #: The requests of each user in order, for SQL that goes from one to the next as the limiters do.
 ORDERED = "e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS fine, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events)"
-SLIDING = """x AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(ts AS DATE) AS day FROM events),
-y AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window, row_number() OVER (PARTITION BY user_id, day ORDER BY ms, event_id) AS in_day FROM x)"""
+SLIDING = """x AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, CAST(ts + INTERVAL 8 HOURS AS DATE) AS day FROM events),
+y AS (SELECT *, count(*) OVER (PARTITION BY user_id, day ORDER BY ms RANGE BETWEEN 59999 PRECEDING AND CURRENT ROW) AS in_window, row_number() OVER (PARTITION BY user_id, day ORDER BY ms, event_id) AS in_day FROM x)"""
 
 
 @query(f"WITH {SLIDING} SELECT event_id, user_id, CAST(in_window AS BIGINT) AS in_window, CAST(in_day AS BIGINT) AS in_day, CASE WHEN in_day > 20 THEN 'daily_limit' WHEN in_window > 6 THEN 'minute_limit' ELSE 'ok' END AS verdict FROM y")
@@ -448,7 +449,8 @@ def note_ranking_han(spark, d):
 
 
 def _requests(spark, d):
-    return table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") != "error").alias("ok"))
+    rows = table(spark, d, "events")
+    return rows.select("event_id", "user_id", millis(rows).alias("ms"), (F.col("event_type") != "error").alias("ok"))
 
 
 # state before a request: windows that are over start anew with it; a request that passes counts in both
@@ -480,4 +482,4 @@ def circuit_breaker(spark, d):
     return limiters.limited(_requests(spark, d), limiters.breaker(2, 86_400_000))
 
 
-from . import catalog_site  # noqa: E402, F401  (registers its queries)
+from . import catalog_site, catalog_streams  # noqa: E402, F401  (register their queries)

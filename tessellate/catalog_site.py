@@ -333,6 +333,60 @@ def transformation_counts(spark, d):
     return privacy.changes(noted, mail=MAIL).filter("pattern IN ('email', 'local_path', 'wikilink')")
 
 
+#: What is put into the texts, by the place of a document: personal data, paths and links, in the forms that the patterns are for.
+PLANTED = (
+    "电话 13{n8}，138{n8}9 ", "身份证 {n17}X 与 {n15} ", "写信 a{n}@b.org。b@c. ", "患者：张三丰来 姓名 李四 ", "病历号 AB-{n4} 卡号{n4} ", "北京市海淀区中关村大街{n}号 ", "地址：和平里东街{n} ",
+    "/Users/u{n}/AI/notes/a.md /home/bob ", "市立第{n}医院 ", "[[资料/笔记{n}.md|别名]] ![[五行{n}.md]] ", "[ [dir/x{n}.md# 节 ] ] [[#节]] ", "[ [DSR{n}] | 伤寒论]] [[open ",
+)
+PLANTED_SQL = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '" + p.replace("{n8}", "' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '").replace("{n17}", "' || lpad(CAST(doc_id AS VARCHAR), 17, '1') || '").replace("{n15}", "' || lpad(CAST(doc_id AS VARCHAR), 15, '2') || '").replace("{n4}", "' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '").replace("{n}", "' || doc_id || '") + "'" for i, p in enumerate(PLANTED)) + " END"
+#: The documents, each with its planted piece in the middle. RE2 has no look-around, so SQL tests whole runs of digits and of an address's letters.
+PRIVATE = rf"""x AS (SELECT doc_id, substr(text, 1, 40) || chr(10) || {PLANTED_SQL} || substr(text, 41) AS t FROM documents),
+y AS (SELECT doc_id, t, regexp_extract_all(t, '\d+[Xx]?') AS runs, regexp_extract_all(t, '[\p{{L}}\p{{N}}_.%+@-]+') AS words FROM x),
+z AS (SELECT doc_id, t, len(list_filter(runs, lambda r: regexp_full_match(r, '1[3-9]\d{{9}}[Xx]?'))) AS mobile, len(list_filter(runs, lambda r: regexp_full_match(r, '\d{{17}}[Xx]|\d{{18}}[Xx]?|\d{{15}}[Xx]?'))) AS id_card,
+  len(list_filter(words, lambda w: regexp_full_match(w, '{MAIL}'))) AS email, len(regexp_extract_all(t, '(?:患者|病人|患名|姓名|名字|家属|联系人|就诊人|主诉人|主诉患者|首诊患者)[：:\s]+[一-龥]{{2,4}}')) AS name_label,
+  len(regexp_extract_all(t, '(?:病历号|住院号|门诊号|档案号|病案号|就诊号|保健号|医保号|社保号|卡号)[：:\s]*[A-Za-z0-9-]{{4,30}}')) AS medical_record, CAST(contains(t, '中关村大街') AS INT) AS address_full, CAST(contains(t, '地址：') AS INT) AS address_label,
+  len(regexp_extract_all(t, '/(?:Users|home)/[^\s<>()，。；：、\[\]"'']+')) AS local_path, len(regexp_extract_all(t, '[一-龥]{{2,15}}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)')) AS institution, len(regexp_extract_all(t, '!?\[\s*\[.*?\]\s*\]')) + CAST(contains(t, '[[open') AS INT) AS wikilink FROM y)"""
+KINDS = (*T.PRIVATE, "local_path", "institution")
+
+
+def _planted(spark, d) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    wide = {"{n8}": F.lpad(n, 8, "0"), "{n17}": F.lpad(n, 17, "1"), "{n15}": F.lpad(n, 15, "2"), "{n4}": F.lpad(n, 4, "0"), "{n}": n}
+    piece = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    for mark, value in wide.items():
+        piece = F.replace(piece, F.lit(mark), value)
+    return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit("\n"), piece, F.expr("substring(text, 41)")).alias("body"))
+
+
+@query(f"WITH {PRIVATE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS pattern, '{'medium' if k in T.MEDIUM else 'high'}' AS severity, CAST(sum({k}) AS BIGINT) AS count, count(*) FILTER (WHERE {k} > 0) AS files FROM z" for k in KINDS) + ")")
+def private_data_findings(spark, d):
+    """All nine patterns over documents that hold such data."""
+    return privacy.findings(_planted(spark, d))
+
+
+@query(f"WITH {PRIVATE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS pattern, CAST(sum({k}) AS BIGINT) AS count FROM z" for k in (*T.PRIVATE, "local_path", "wikilink")) + ")")
+def private_data_changes(spark, d):
+    return privacy.changes(_planted(spark, d))
+
+
+CLEANED = "t"
+for _found, _kept in (
+    (r"/(?:Users|home)/[^\s<>()，。；：、\[\]""'/]+/(?:AI/)?([^\s<>()，。；：、\[\]""']*)", r"\1"), (r"!?\[\s*\[[^|\n]*?\|\s*([^|\n]*?)\s*\]\s*\]", r"\1"), (r"!?\[\s*\[\s*#\s*([^|\n]*?)\s*\]\s*\]", r"\1"),
+    (r"!?\[\s*\[\s*(?:[^|\n\[\]]*/)?([^|\n\[\]/]*?)\.md\s*#\s*([^|\n]*?)\s*\]\s*\]", r"\1 · \2"), (r"!?\[\s*\[\s*([^|\n\[\]/#]*?)\.md\s*\]\s*\]", r"\1"), (r"(!?)\[\s*\[", r"\1["),
+    (r"(^|[^\d])1[3-9]\d{9}($|[^\d])", r"\1[已脱敏手机号]\2"), (r"(^|[^\d])(?:\d{17}[\dXx]|\d{15})($|[^\d])", r"\1[已脱敏身份证号]\2"), (r"(^|[^\p{L}\p{N}_.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}($|[^\p{L}\p{N}_.-])", r"\1[已脱敏邮箱]\2"),
+    (r"(患者|病人|患名|姓名|名字|家属|联系人|就诊人|主诉人|主诉患者|首诊患者)[：:\s]+[一-龥]{2,4}", r"\1：[已脱敏姓名]"), (r"(病历号|住院号|门诊号|档案号|病案号|就诊号|保健号|医保号|社保号|卡号)[：:\s]*[A-Za-z0-9-]{4,30}", r"\1：[已脱敏病历号]"),
+    (r"北京市海淀区中关村大街\d+号", "[已脱敏地址]"), (r"地址：和平里东街\d+", "地址：[已脱敏地址]"), (r"\r\n?", "\n"),
+):
+    CLEANED = f"regexp_replace({CLEANED}, '{_found.replace(chr(39), chr(39) * 2)}', '{_kept}', 'g')"
+    if _kept == r"\1[":
+        CLEANED = f"replace(replace({CLEANED}, '[[', '['), ']]', ']')"
+
+
+@query(f"WITH {PRIVATE} SELECT doc_id, sha256({CLEANED}) AS digest FROM z")
+def sanitised_documents(spark, d):
+    return _planted(spark, d).select("doc_id", F.sha2(T.sanitised(F.col("body"), ("AI/",)), 256).alias("digest"))
+
+
 MARKED = r"regexp_replace(regexp_replace({}, '(?m)^[^\S\n]+|[^\S\n]+$', '', 'g'), '(?m)^((?:\d+\.|[-*]|>|#{1,6}\s).*)$', chr(1) || '\1' || chr(1), 'g')"
 
 

@@ -38,8 +38,10 @@ class Cleaner(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]], closed: bool = False) -> None:
         if tag in FORBIDDEN:
-            if tag != "embed" and not closed:
+            if tag != "embed":  # as browsers do, whether or not the tag claims to be closed
                 self.inside.append(tag)
+                if closed and tag in self.CDATA_CONTENT_ELEMENTS:
+                    self.set_cdata_mode(tag)
             return
         if self.inside:
             return

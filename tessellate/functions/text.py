@@ -85,8 +85,9 @@ PRIVATE = {
     "address_full": r"(?U)(?:(?:北京|上海|天津|重庆)(?:市)?[一-龥]{0,10}(?:区|县)|[一-龥]{2,6}(?:省|自治区|特别行政区)[一-龥]{1,10}(?:市|地区|盟|自治州)[一-龥]{0,10}(?:区|县|旗|市)?)[一-龥]{0,30}(?:路|街|巷|弄|村|镇|乡|大道|大街)[一-龥\d]{0,20}(?:号|室|楼|栋|单元)?[\d\-]*",
     "address_label": r"(?U)(地址|住址|家庭住址|现住址|联系地址|通讯地址|居住地)[：:\s]+([^\n，。；！？,;:!?一-龥]{0,5}[一-龥\d]{4,80})",
 }
-#: Paths of a home folder.
-HOME = r"""/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/([^\s\]\[()<>"'，。；：、]+)"""
+#: Paths of a home folder, and what of one is made relative: a path with something after the user's name.
+HOME = r"""(?U)/(?:Users|home)/[^\s\]\[()<>"'，。；：、]+(?:/[^\s\]\[()<>"'，。；：、]+)*"""
+RELATIVE = r"""(?U)/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/([^\s\]\[()<>"'，。；：、]*)"""
 #: Counted, never masked.
 SCANNED = PRIVATE | {"local_path": HOME, "institution": "[一-龥]{2,15}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)"}
 #: Of what is scanned, what alone doesn't block a corpus.
@@ -107,36 +108,50 @@ def private_counts(text: Column, patterns: dict[str, str] = SCANNED) -> Column:
     return F.create_map(*(x for name, p in patterns.items() for x in (F.lit(name), F.regexp_count(bare, F.lit(p)))))
 
 
-#: Links: alias, or title and heading; brackets can't be inside one.
-LINKS = (
-    (r"!?\[\s*\[[^\[\]]*\|\s*([^\[\]|]*?)\s*\]\s*\]", "$1"),
-    (r"!?\[\s*\[\s*(?:[^\[\]|#]*/)?\s*([^\[\]|#/]+?)(?i:\.md)?\s*#\s*([^\[\]|]+?)\s*\]\s*\]", "$1 · $2"),
-    (r"!?\[\s*\[\s*#\s*([^\[\]|]+?)\s*\]\s*\]", "$1"),
-    (r"!?\[\s*\[\s*(?:[^\[\]|#]*/)?\s*([^\[\]|#/]+?)(?i:\.md)?\s*#?\s*\]\s*\]", "$1"),
-    (r"(!?)\[\s*\[", "$1["),
-    (r"\]\]", "]"),
-)
+#: A link, its inside as a group, up to the first closing pair of its line; and an opener left over.
+LINK = r"(?Ud)!?\[\s*\[\s*(.*?)\s*\]\s*\]"
+OPENER = r"(?U)(!?)\[\s*\["
 
 
-def sanitised(text: Column, roots: tuple[str, ...] = ()) -> Column:
-    """Text for publishing: home paths made relative (to the first of roots that leads them), links readable, personal data masked."""
-    text = F.regexp_replace(text, HOME, "\uE000$1")
+def link_text(inner: Column) -> Column:
+    """What stands for a link: its alias, or its title (the file's name) and heading."""
+    target, heading = bare(F.substring_index(inner, "#", 1)), bare(F.regexp_extract(inner, "(?s)^[^#]*#(.*)$", 1))
+    file = F.coalesce(F.try_element_at(F.filter(F.split(target, "/"), lambda x: ~x.isin("", ".")), F.lit(-1)), F.lit(""))
+    title = F.regexp_replace(file, r"(?i)\.md$", "")
+    named = F.when(heading == "", F.when(title == "", inner).otherwise(title)).when(title == "", heading).otherwise(F.concat(title, F.lit(" · "), heading))
+    return F.when(F.contains(inner, F.lit("|")), bare(F.substring_index(inner, "|", -1))).otherwise(named)
+
+
+def _relative(text: Column, roots: tuple[str, ...]) -> Column:
+    text = F.regexp_replace(text, RELATIVE, "\uE000$1")
     for root in roots:
         text = F.replace(text, F.lit("\uE000" + root), F.lit(""))
-    text = F.replace(text, F.lit("\uE000"), F.lit(""))
-    for pattern, kept in LINKS:
-        text = F.regexp_replace(text, pattern, kept)
-    return redacted(text)
+    return F.replace(text, F.lit("\uE000"), F.lit(""))
+
+
+def linked(text: Column) -> Column:
+    """text with its links readable."""
+    inner = F.regexp_extract_all(text, F.lit(LINK), 1)
+    between = F.transform(F.split(text, LINK, -1), lambda part, i: F.concat(part, F.coalesce(link_text(bare(F.get(inner, i))), F.lit(""))))
+    return F.when(F.contains(text, F.lit("[")), F.array_join(between, "")).otherwise(text)
+
+
+def sanitised(text: Column, roots: tuple[str, ...] = (), patterns: dict[str, str] = PRIVATE) -> Column:
+    """Text for publishing: home paths made relative (to the first of roots that leads them), links readable, personal data masked.
+
+    A home folder itself stays, and is found by private_counts: a corpus that holds one is blocked.
+    """
+    text = F.regexp_replace(linked(_relative(text, roots)), OPENER, "$1[")
+    text = F.replace(F.replace(text, F.lit("[["), F.lit("[")), F.lit("]]"), F.lit("]"))
+    return redacted(text, patterns)
 
 
 def transformations(text: Column, mail: str | None = None) -> Column:
     """What sanitised would change, by pattern, counted before any of it is changed; openers left over once links are readable
     count as links. mail stands in for the pattern of addresses."""
-    patterns = PRIVATE | {"local_path": HOME, "wikilink": r"!?\[\s*\[[^\[\]]*\]\s*\]"} | ({"email": mail} if mail else {})
-    linked = text
-    for pattern, kept in LINKS[:-2]:
-        linked = F.regexp_replace(linked, pattern, kept)
-    count = lambda name, p: F.regexp_count(text, F.lit(p)) + (F.regexp_count(linked, F.lit(LINKS[-2][0])) if name == "wikilink" else 0)
+    patterns = PRIVATE | {"local_path": HOME, "wikilink": LINK} | ({"email": mail} if mail else {})
+    left = F.regexp_count(linked(_relative(text, ())), F.lit(OPENER))
+    count = lambda name, p: F.regexp_count(text, F.lit(p)) + (left if name == "wikilink" else 0)
     return F.create_map(*(x for name, p in patterns.items() for x in (F.lit(name), count(name, p))))
 
 

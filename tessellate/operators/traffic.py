@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..functions.text import bare, clean_path
+from ..functions.times import local_day, millis
 
 
 def visits(events: DataFrame) -> DataFrame:
     """Events as page views: local day (UTC+8), site, path, hashed visitor."""
     return events.select(
-        "event_id", "user_id", "ts", F.to_date(F.col("ts") + F.expr("INTERVAL 8 HOURS")).alias("day"), F.col("event_type").alias("site"),
+        "event_id", "user_id", "ts", local_day(millis(events)).alias("day"), F.col("event_type").alias("site"),
         F.concat(F.lit("/"), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("path"), F.substring(F.sha2(F.col("user_id").cast("string"), 256), 1, 16).alias("visitor"),
     )
 
@@ -65,19 +66,25 @@ def changed_paths(views: DataFrame) -> DataFrame:
     return views.withColumn("before", before).filter("before IS NULL OR before <> path").drop("before")
 
 
+def daily_verdict(limits: Limits) -> Column:
+    """What becomes of a request (user_id, in_day, in_window)."""
+    return F.when(F.col("user_id").isNull(), "missing_user").when(F.col("in_day") > limits.per_day, "daily_limit").when(F.col("in_window") > limits.per_minute, "minute_limit").otherwise("ok")
+
+
 def sliding(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Requests (user_id, event_id, ts) with counts of the day and of the window up to them, and whether they pass.
+    """Requests (user_id, event_id, ts) with counts of the local day (UTC+8) and of the window up to them, and whether they pass.
 
-    Denied requests count. Windows are counted in pieces of a window's length, each with a copy of the piece before it, and days
-    one by one, so no user's whole history is one partition.
+    Denied requests count. A window ends with its day, so counts and windows share one partitioning, by user and day, and no
+    user's whole history is one partition. Requests without a user are refused and count for nothing.
     """
-    ms = requests.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("day", F.to_date("ts"))
-    today = F.row_number().over(Window.partitionBy("user_id", "day").orderBy("ms", "event_id"))
-    counted = ms.withColumn("in_day", today.cast("long")).withColumn("_b", F.floor(F.col("ms") / limits.window_ms))
-    copies = counted.withColumn("_p", F.explode(F.array(F.struct(F.col("_b").alias("at"), F.lit(True).alias("own")), F.struct((F.col("_b") + 1).alias("at"), F.lit(False).alias("own")))))
-    near = F.count("*").over(Window.partitionBy("user_id", "_p.at").orderBy("ms").rangeBetween(-(limits.window_ms - 1), 0))
-    out = copies.withColumn("in_window", near).filter("_p.own").drop("_b", "_p")
-    return out.withColumn("verdict", F.when(F.col("in_day") > limits.per_day, "daily_limit").when(F.col("in_window") > limits.per_minute, "minute_limit").otherwise("ok"))
+    ms = requests.withColumn("ms", millis(requests))
+    # a null user has nothing to count: its rows are dealt by event instead of meeting in one partition
+    rows = ms.withColumns({"day": local_day(F.col("ms")), "_u": F.when(F.col("user_id").isNull(), F.col("event_id"))})
+    mine = Window.partitionBy("user_id", "_u", "day").orderBy("ms")
+    today = F.row_number().over(Window.partitionBy("user_id", "_u", "day").orderBy("ms", "event_id")).cast("long")
+    near = F.count("*").over(mine.rangeBetween(-(limits.window_ms - 1), 0))
+    known = lambda n: F.when(F.col("user_id").isNull(), F.lit(0).cast("long")).otherwise(n)
+    return rows.withColumn("in_day", known(today)).withColumn("in_window", known(near)).drop("_u").withColumn("verdict", daily_verdict(limits))
 
 
 def anchored(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -95,5 +102,5 @@ def anchored(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 passed.append(count <= limits.anchored_most)
             yield pdf.assign(hit=hits, passed=passed)
 
-    rows = requests.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    rows = requests.select("user_id", "event_id", millis(requests).alias("ms"))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id").mapInPandas(run, "user_id long, event_id long, ms long, hit long, passed boolean")

@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessellate.functions import html, policy
 from tessellate.functions import markdown as M
-from tessellate.functions import policy
+from tessellate.functions import text as T
 from tessellate.operators import limiters, lists, ranking
 from tessellate.config import Retrieval
 
@@ -78,17 +79,6 @@ def test_limiters(spark):
     assert seen == ["ok", "ok", "ok", "open", "probe", "open", "probe", "ok"]
 
 
-def test_stream_limit(spark, tmp_path):
-    from tessellate.streaming.limits import limited_stream
-
-    spark.createDataFrame([(1, 1, 1000, True), (2, 1, 1030, True), (3, 1, 1070, True)], "event_id long, user_id long, ms long, ok boolean").coalesce(1).write.parquet(str(tmp_path / "a"))
-    spark.createDataFrame([(4, 1, 1100, True), (5, 1, 1130, True)], "event_id long, user_id long, ms long, ok boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
-    rows = spark.readStream.schema("event_id long, user_id long, ms long, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a"))
-    started = limited_stream(rows, limiters.least_interval(60)).writeStream.format("memory").queryName("limit_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert started.awaitTermination(60)
-    assert {r.event_id: r.verdict for r in spark.table("limit_out").collect()} == {1: "ok", 2: "too_soon", 3: "ok", 4: "too_soon", 5: "ok"}
-
-
 def test_han_ranking(spark):
     chunks = [
         (1, "g", "总论", "", "经方 针灸 本草 经方"), (2, "g", "目录", "", "目录 紫微星 经方 针灸"), (3, "h", "紫微", "紫微星", "紫微星 坐命 经方"),
@@ -101,6 +91,27 @@ def test_han_ranking(spark):
     assert by["q3"] == by["q4"] == [] and by["q2"] == [3] and by["q1"][0] == 1 and 2 not in by["q1"]
 
 
+def test_paths_and_links_of_every_form(spark):
+    clean = lambda text: one(spark, text, lambda c: T.sanitised(c, ("AI/人生知识库/", "AI/")))
+    assert clean("/Users/e/AI/人生知识库/资料/a.md，/home/bob/AI/b /home/bob/") == "资料/a.md，b "
+    assert clean("/Users/bob 与 /home/bob") == "/Users/bob 与 /home/bob"
+    for text in ("/Users/bob", "/home/bob/", "/home/bob/x/y", "见/Users/a/b。"):
+        assert one(spark, text, T.private_counts)["local_path"] == 1
+    assert clean("[ [路径/笔记[一] .md|别名] ]") == "别名"
+    assert clean("[[资料/阴阳|阴阳]] ![[资料/五行.md]] [ [资料/伤寒论.md|伤寒论]]") == "阴阳 五行 伤寒论"
+    assert clean("[ [DSR] | 伤寒论]]") == "伤寒论" and clean("[ [DSR] | 伤寒论]") == "[DSR] | 伤寒论]"
+    assert clean("[[a/b.MD#节 一]] [[#节]] [[a/ # h]] [[/]] [[]] [[a|b|c ]]") == "b · 节 一 节 a · h / [] c"
+    assert clean("[[x]] 1 [[y") == "x 1 [y" and clean("![[p]]]") == "p]"
+    assert clean("[[a\nb]]") == "[a\nb]" and clean(None) is None and clean("") == ""
+    counts = one(spark, "/home/b/x [[a]] [[b", T.transformations)
+    assert (counts["local_path"], counts["wikilink"]) == (1, 2)
+
+
+def test_forbidden_elements_that_claim_to_be_closed():
+    assert html.clean("<script/>alert(1)</script>a<style/>p{}</style>b<embed/>c<iframe/>d</iframe>e") == "abce"
+    assert html.clean("a<script/>never closed <b>x</b>") == "a"
+
+
 def test_sanitised(spark):
     from tessellate.functions import text as T
 
@@ -114,8 +125,9 @@ def test_sinks(spark, tmp_path):
     from tessellate.sources import sinks
 
     docs = spark.createDataFrame([(1, "a b a", "x"), (2, "a c", "y"), (3, None, None)], "doc_id long, text string, source_group string")
-    sinks.index_sink(docs, str(tmp_path / "i"))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "i/postings")).select("token", "doc_id", "tf", "df").collect())) == [("a", 1, 2, 2), ("a", 2, 1, 2)]
+    made = sinks.index_sink(docs, str(tmp_path / "i"))
+    kept = made.part("postings").select("token", F.inline("docs")).join(made.part("terms"), "token")
+    assert sorted(map(tuple, kept.select("token", "doc", "tf", "df").collect())) == [("a", 1, 2, 2), ("a", 2, 1, 2)]
     sinks.corpus_sink(docs, str(tmp_path / "c"))
     sinks.report_sink(docs, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "r")).count() == 3

@@ -6,7 +6,8 @@ same step functions drive the streaming form in streaming/limits.py.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,3 +80,66 @@ def limited(requests: DataFrame, step: Step, key: str = "user_id") -> DataFrame:
 
     out = rows.repartition("k").sortWithinPartitions("k", "ms", "event_id").mapInPandas(run, "k string, event_id long, ms long, verdict string")
     return out.withColumnRenamed("k", key)
+
+
+def gauged(requests: DataFrame, most: int = 8, key: str = "instance") -> DataFrame:
+    """(key, event_id, ms, running, verdict) of requests (key, event_id, ms, until): at most `most` run at a time.
+
+    An ordered sweep of starts and ends: a request that is admitted runs until its end and counts till then, one that is denied
+    never does. At one time ends come before starts, and starts go by event_id. running: how many run before the request. A key's
+    history streams through; its state is the ends of what runs. Null keys are one key, rows without a time are left out, a
+    request without an end runs on.
+    """
+    rows = requests.select(F.col(key).cast("string").alias("k"), F.col("event_id").cast("long").alias("event_id"), F.col("ms").cast("long").alias("ms"), F.coalesce(F.col("until").cast("double"), F.lit(float("inf"))).alias("until")).filter("ms IS NOT NULL")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ends = object(), []
+        for part in parts:
+            running, verdicts = [], []
+            for k, ms, until in zip(part.k, part.ms, part.until):
+                if k != at:
+                    at, ends = k, []
+                while ends and ends[0] <= ms:
+                    heapq.heappop(ends)
+                running.append(len(ends))
+                verdicts.append("ok" if len(ends) < most else "busy")
+                if len(ends) < most:
+                    heapq.heappush(ends, until)
+            yield part[["k", "event_id", "ms"]].assign(running=running, verdict=verdicts)
+
+    out = rows.repartition("k").sortWithinPartitions("k", "ms", "event_id").mapInPandas(run, "k string, event_id long, ms long, running long, verdict string")
+    return out.withColumnRenamed("k", key)
+
+
+def chained(calls: DataFrame, steps: Mapping[str, Step], key: str = "instance") -> DataFrame:
+    """(key, event_id, ms, provider, attempts, retry_at) of calls (key, event_id, ms, ok: a map from provider to whether it would answer).
+
+    Providers are tried in order until one answers. Each has a breaker (its step) that remembers earlier calls: one that is open is
+    passed over. provider is null if none answers; retry_at is then the earliest time at which one that is open lets a probe
+    through, null if none is open. Null keys are one key, rows without a time are left out, a provider without a value fails.
+    """
+    names = list(steps)
+    rows = calls.select(F.col(key).cast("string").alias("k"), F.col("event_id").cast("long").alias("event_id"), F.col("ms").cast("long").alias("ms"), *(F.coalesce(F.col("ok")[n], F.lit(False)).alias(f"ok{i}") for i, n in enumerate(names))).filter("ms IS NOT NULL")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, states = object(), {}
+        for part in parts:
+            found = []
+            for k, event, ms, *fine in part.itertuples(index=False):
+                if k != at:
+                    at, states = k, dict.fromkeys(names, ())
+                tried, answered = [], None
+                for name, ok in zip(names, fine):
+                    states[name], verdict = steps[name](states[name], int(ms), bool(ok))
+                    if verdict != "open":
+                        tried.append(name)
+                        if ok:
+                            answered = name
+                            break
+                waits = [s[1] for s in states.values() if s and s[1] > ms]
+                found.append((k, event, ms, answered, tried, min(waits) if waits and answered is None else None))
+            out = pd.DataFrame(found, columns=["k", "event_id", "ms", "provider", "attempts", "retry_at"])
+            yield out.astype({"retry_at": "Int64"})
+
+    out = rows.repartition("k").sortWithinPartitions("k", "ms", "event_id").mapInPandas(run, "k string, event_id long, ms long, provider string, attempts array<string>, retry_at long")
+    return out.withColumnRenamed("k", key)

@@ -56,6 +56,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> None:
+    """Make a folder and those above it, if they are not there."""
+    where, system = _path(spark, path)
+    system.mkdirs(where)
+
+
 def rename(spark: SparkSession, old: str, new: str) -> bool:
     """Whether old became new: at most one of several that try does, and none if new is there."""
     where, system = _path(spark, old)

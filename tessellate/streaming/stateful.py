@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..config import Limits
 from ..functions.times import local_day, millis
@@ -25,24 +26,30 @@ WEEK = 7 * 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run(stream: DataFrame, path: str | None = None, timers: bool = False) -> tuple[DataFrame, StreamingQuery]:
-    """Run a stream over all that its source holds into a table under path, whose checkpoint goes on where an earlier run ended.
+def drive(writer: DataStreamWriter, timers: bool = False) -> StreamingQuery:
+    """Run a stream over all that its source holds; its checkpoint goes on where an earlier run ended.
 
     timers: also run batches without data, which event-time timers need. (Processing-time state would ask for them for ever.)
     """
-    spark = stream.sparkSession
-    path = path or shared.place(spark, "stream")
+    spark = writer._spark
     settings = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": str(timers).lower()}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query = writer.trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows"), query
+    return query
+
+
+def run(stream: DataFrame, path: str | None = None, timers: bool = False) -> tuple[DataFrame, StreamingQuery]:
+    """drive a stream into a table under path, beside its checkpoint."""
+    path = path or shared.place(stream.sparkSession, "stream")
+    query = drive(stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint"), timers)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows"), query
 
 
 def source(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:

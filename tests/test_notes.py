@@ -100,7 +100,7 @@ def test_paths_and_links_of_every_form(spark):
     assert clean("[ [路径/笔记[一] .md|别名] ]") == "别名"
     assert clean("[[资料/阴阳|阴阳]] ![[资料/五行.md]] [ [资料/伤寒论.md|伤寒论]]") == "阴阳 五行 伤寒论"
     assert clean("[ [DSR] | 伤寒论]]") == "伤寒论" and clean("[ [DSR] | 伤寒论]") == "[DSR] | 伤寒论]"
-    assert clean("[[a/b.MD#节 一]] [[#节]] [[a/ # h]] [[/]] [[]] [[a|b|c ]]") == "b · 节 一 节 a · h / [] c"
+    assert clean("[[a/b.MD#节 一]] [[#节]] [[a/ # h]] [[/]] [[]] [[a|b|c ]]") == "b · 节 一 节 a · h /  c"
     assert clean("[[x]] 1 [[y") == "x 1 [y" and clean("![[p]]]") == "p]"
     assert clean("[[a\nb]]") == "[a\nb]" and clean(None) is None and clean("") == ""
     counts = one(spark, "/home/b/x [[a]] [[b", T.transformations)

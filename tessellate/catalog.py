@@ -290,19 +290,44 @@ def required_fields(spark, d):
 
 
 # no text of the tables has a blank line: each is one paragraph, cut at its sentences if it is long
-@query(r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')),
-p AS (SELECT doc_id, CASE WHEN length(t) <= 2000 THEN [t] ELSE regexp_extract_all(t, '(?s)[^。！？；.!?;]*[。！？；.!?;]|[^。！？；.!?;]+$') END AS p FROM d), l AS (SELECT doc_id, list_transform(p, lambda x: length(x)) AS l FROM p),
+CHUNKED = r"""p AS (SELECT doc_id, CASE WHEN length(t) <= 2000 THEN [t] ELSE regexp_extract_all(t, '(?s)[^。！？；.!?;]*[。！？；.!?;]|[^。！？；.!?;]+$') END AS p FROM d), l AS (SELECT doc_id, list_transform(p, lambda x: length(x)) AS l FROM p),
 s AS (SELECT doc_id, 1 AS i, l[1] AS size, 0 AS c FROM l UNION ALL
   SELECT doc_id, i + 1, CASE WHEN size >= 1200 AND size + l[i + 1] > 2000 THEN l[i + 1] ELSE size + l[i + 1] END, c + CAST(size >= 1200 AND size + l[i + 1] > 2000 AS INT) FROM s JOIN l USING (doc_id) WHERE i < len(l)),
 u AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p), g AS (SELECT doc_id, c, string_agg(x, '' ORDER BY i) AS x FROM s JOIN u USING (doc_id, i) GROUP BY ALL),
 e AS (SELECT doc_id, c, CASE WHEN c = m THEN regexp_replace(x, '^\s+|\s+$', '', 'g') ELSE x END AS x, m FROM (SELECT *, max(c) OVER (PARTITION BY doc_id) AS m FROM g)),
 f AS (SELECT doc_id, c, m, x, lead(x) OVER (PARTITION BY doc_id ORDER BY c) AS after FROM e WHERE x <> ''),
-k AS (SELECT doc_id, c, CASE WHEN after IS NOT NULL AND c = m - 1 AND 2 * length(after) < 1200 THEN x || chr(10) || chr(10) || after ELSE x END AS x FROM f WHERE NOT (c = m AND m > 0 AND 2 * length(x) < 1200))
-SELECT doc_id, CAST(c AS INTEGER) AS chunk_index, CAST(length(x) AS INTEGER) AS content_length, sha256(x) AS digest FROM k""")
+k AS (SELECT doc_id, c, CASE WHEN after IS NOT NULL AND c = m - 1 AND 2 * length(after) < 1200 THEN x || chr(10) || chr(10) || after ELSE x END AS x FROM f WHERE NOT (c = m AND m > 0 AND 2 * length(x) < 1200))"""
+
+
+@query(r"WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE regexp_matches(text, '\S')), " + CHUNKED + " SELECT doc_id, CAST(c AS INTEGER) AS chunk_index, CAST(length(x) AS INTEGER) AS content_length, sha256(x) AS digest FROM k")
 def paragraph_chunks(spark, d):
     return chunking.chunked(table(spark, d, "documents"), Chunks(ends="。！？；.!?;")).select("doc_id", "chunk_index", "content_length", F.sha2("content", 256).alias("digest"))
 
 
+ENDS_OFF = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+THIRD = "CAST(floor(length(text) / 3) AS INTEGER)"
+
+
+@query(rf"""WITH RECURSIVE o AS (SELECT doc_id, lang, substr(text, 1, {THIRD}) AS a, substr(text, {THIRD} + 1, {THIRD}) AS b, substr(text, 2 * {THIRD} + 1) AS z FROM documents),
+w AS (SELECT doc_id * 3 AS id, '经方，针灸 ' || lang AS title, '' AS section, '# 经方，针灸 ' || lang || chr(10) || a AS t FROM o UNION ALL SELECT doc_id * 3 + 1, '紫微星', '紫微星', '主星之紫微星' || chr(10) || b FROM o UNION ALL SELECT doc_id * 3 + 2, '禄存星', '禄存星', '## 禄存星' || chr(10) || z FROM o),
+d AS (SELECT id AS doc_id, {ENDS_OFF.replace("{}", "t")} AS t FROM w), {CHUNKED}
+SELECT CAST(id // 3 AS VARCHAR) AS name, CAST(id % 3 // 2 AS INTEGER) AS subfile_index, CAST(row_number() OVER (PARTITION BY id // 3, id % 3 // 2 ORDER BY id, c) - 1 AS INTEGER) AS chunk_index,
+CASE WHEN id % 3 < 2 THEN 'notes/' || id // 3 || '.md' ELSE title END AS subfile, title AS chunk_title, section AS section_title, CASE WHEN id // 3 % 2 = 0 THEN 'study' ELSE 'learning_research' END AS learning_use,
+CAST(length(x) AS INTEGER) AS content_length, sha256(x) AS digest, CASE WHEN section <> '' THEN section WHEN contains(x, '# 经方') THEN '经方,针灸' ELSE '' END AS keywords FROM k JOIN w ON w.id = k.doc_id""")
+def knowledge_chunks(spark, d):
+    """Files made of the documents: two subfiles, the first of a part before its section and one section, the second of one."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    n = F.col("doc_id").cast("string")
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("---\nlearning_use: \"study\"\n---\n")).otherwise("")
+    body = F.concat(
+        head, F.lit("文件：notes/"), n, F.lit(".md\n\n# 经方，针灸 "), "lang", F.lit("\n"), F.substring("text", F.lit(1), third), F.lit("\n主星之紫微星\n"), F.substring("text", third + 1, third),
+        F.lit("\n" + "=" * 80 + "\n \n" + "=" * 90 + "\n## 禄存星\n"), F.substring("text", 2 * third + 1, F.length("text")),
+    )
+    files = table(spark, d, "documents").select(n.alias("name"), body.alias("body"))
+    rows = chunking.knowledge(files, Chunks(ends="。！？；.!?;"))
+    return rows.select("name", "subfile_index", "chunk_index", "subfile", "chunk_title", "section_title", "learning_use", "content_length", F.sha2("content", 256).alias("digest"), F.array_join("keywords", ",").alias("keywords"))
+
+
 @query(r"""WITH r AS (SELECT event_id, lower(trim(upper(event_type))) AS site, trim('graph/' || json_extract_string(props, '$.k') || ' ') AS p, substr(repeat(CAST(user_id AS VARCHAR), 3), 1, 80) AS vid FROM events)
 SELECT event_id, site, '/' || substr(p, 1, 200) AS path, vid FROM r WHERE site IN ('view', 'click', 'purchase') AND length(vid) >= 8""")
 def page_admission(spark, d):

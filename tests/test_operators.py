@@ -93,18 +93,31 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_chunks():
-    small = Chunks(least=6, most=10)
-    assert chunking.chunks("", small) == chunking.chunks(" \n\n ", small) == []
-    assert chunking.chunks("aaa\n\nbbb\n\n\nccc", small) == ["aaa\n\nbbb", "ccc"]
-    assert chunking.chunks("aaaaaaa\n\nbb", small) == ["aaaaaaa\n\nbb"]  # the short end joins
-    assert chunking.chunks("ab\n\n一二三四五。六七八九十！末了。", small) == ["ab", "一二三四五。", "六七八九十！末了。"]
-    assert chunking.chunks("x" * 30, small) == ["x" * 30]  # no sentence end to cut at
+def test_chunks(spark):
+    cut = lambda text: one(spark, text, lambda c: chunking.chunks(c, Chunks(least=6, most=10)))
+    assert cut("") == cut(" \n\n ") == cut(None) == []
+    assert cut("aaa\n\nbbb\n\n\nccc") == ["aaa\n\nbbb", "ccc"]
+    assert cut("aaaaaaa\n\nbb") == ["aaaaaaa\n\nbb"]  # the short end joins
+    assert cut("ab\n\n一二三四五。六七八九十！末了。") == ["ab", "一二三四五。", "六七八九十！末了。"]
+    assert cut("x" * 30) == ["x" * 30]  # no sentence end to cut at
+    assert cut("一二三四五六七。八九十。\n\nab") == ["一二三四五六七。", "八九十。\n\nab"]
 
 
 def test_chunked_table(spark):
-    docs = spark.createDataFrame([(1, "a" * 1500 + "\n\n" + "b" * 1500, 0), (2, None, 0), (3, "", 0)], "doc_id int, text string, chunk_index int")
-    assert [(r.doc_id, r.chunk_index, r.content_length) for r in chunking.chunked(docs).orderBy("chunk_index").collect()] == [(1, 0, 1500), (1, 1, 1500)]
+    docs = spark.createDataFrame([(1, "a" * 1500 + "\n\n" + "b" * 1500, 0), (2, None, 0), (3, "", 0), (None, "c", 0)], "doc_id int, text string, chunk_index int")
+    assert sorted(((r.doc_id or 0, r.chunk_index, r.content_length) for r in chunking.chunked(docs).collect())) == [(0, 0, 1), (1, 0, 1500), (1, 1, 1500)]
+
+
+def test_knowledge_of_files(spark):
+    line = "=" * 80
+    body = f'---\nlearning_use: "x"\n---\n文件：a/b.md\n\n---\nk: v\n---\n前言\n## 紫微星\\\n甲乙。\n{line}\n  \n{line}\n文件：only/a/name.md\n\n{line}\n文字\n文件：c.md\n\n说明\n{line}==\nno title here'
+    files = spark.createDataFrame([("f", body), ("g", None), ("h", ""), ("i", "# 经方，针灸\n" + "字" * 2500)], "name string, body string")
+    got = sorted((r.name, r.subfile_index, r.chunk_index, r.subfile, r.chunk_title, r.section_title, r.learning_use, r.content, tuple(r.keywords)) for r in chunking.knowledge(files).collect())
+    assert got[:-1] == [
+        ("f", 0, 0, "a/b.md", "紫微星\\", "", "x", "---\nk: v\n---\n前言", ()), ("f", 0, 1, "a/b.md", "紫微星", "紫微星", "x", "## 紫微星\\\n甲乙。", ("紫微星",)),
+        ("f", 1, 0, "only/a/name.md", "only/a/name.md", "", "x", "文件：only/a/name.md", ()), ("f", 2, 0, "c.md", "c.md", "", "x", "文字\n说明", ()), ("f", 3, 0, "子文件4", "子文件4", "", "x", "no title here", ()),
+    ]
+    assert [(g[0], g[2], len(g[7]), g[8]) for g in got[-1:]] == [("i", 0, 2508, ("经方", "针灸"))]
 
 
 def test_short_page(spark):

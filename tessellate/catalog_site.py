@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import DEGREE, EDGES, LINKS, VIEWS, _links, _requests, _views, query
+from .catalog import DEGREE, EDGES, LINKS, TOKENS, VIEWS, _links, _requests, _views, query
 from .config import Limits
 from .functions import html, policy
 from .functions import markdown as M
@@ -15,66 +15,93 @@ from .operators import conversation, graph, lists, privacy, ranking, requests, t
 from .sources import sinks, tables
 from .sources.tables import table
 
-#: Questions with the rule that stops them (null: none does), and answers with whether they are stopped; rows take them in turn.
+#: Questions and answers that are put into the texts of the turns, in turn, after their first PLACE characters.
 QUESTIONS = (
-    ("帮我抓个方子", "always"), ("我失眠怎么办", "person"), ("发热怎么治", "fever"), ("头痛吃什么", "symptom"), ("学习原文中胃痛什么方比较好", "symptom"), ("经典里什么药比较好", "always"),
-    ("足三里可以灸吗", "use"), ("当归泡水喝", "use"), ("每天吃几片", "context"), ("桂枝汤的配伍原则是什么", None), ("经方学习的顺序", None), ("the of and", None), ("救命", "always"), ("这味药先煎吗", "context"),
-)
-ANSWERS = (("建议服用 3 克", True), ("每日3片", True), ("经典记载如下", False), ("你需要10克", True), ("可以艾灸足三里穴", True), ("plain words", False))
-URGENT = "救命"
-#: Questions, the tokens that their topics add, the entities they name, and whether they ask for a chart.
-LOOKUPS = (
-    ("紫微星怎么安紫微", "天纪;天机道;人间道;地脉道;斗数;易经;六十四卦;风水;八字;四柱;命理;十神;五行", "紫微星", True), ("针法", "针灸;灸法;经络;穴位;针灸大成", "", False),
-    ("紫薇星，七杀星", "天纪;天机道;人间道;地脉道;斗数;易经;六十四卦;风水;八字;四柱;命理;十神;五行", "紫微星;七杀星", False), ("学习顺序", "", "", False),
-)
-#: Answers with lists, and what becomes of them; | stands for a line end.
-LISTED = (
-    ("1. a|1. b|1. c", "1. a|2. b|3. c"), ("1. a|words|1. b", "1. a|words|2、 b"), ("# h|1. a|# g|1. b", "# h|1. a|# g|1. b"), ("```|1. a|1. b|```|1. c", "```|1. a|1. b|```|1. c"),
-    ("1. a|  1. x|  1. y|1. b", "1. a|  1. x|  2. y|2. b"), ("3. a|1. b", "3. a|4. b"), ("no list", "no list"),
+    "帮我抓个方子", "我失眠怎么办", "发热怎么治", "头痛吃什么", "学习原文中胃痛什么方比较好", "经典里什么药比较好", "足三里可以灸吗", "当归泡水喝", "每天吃几片", "桂枝汤的配伍原则是什么", "经方学习的顺序",
+    "the of and", "救命", "这味药先煎吗", "推荐经方的书", "他推荐的学习顺序", "方剂学怎么学", "帮我配个方剂", "休克", "针灸足三里怎么灸",
 )
+ANSWERS = ("建议服用 3 克", "每日3片", "经典记载如下", "你需要10克", "可以艾灸足三里穴", "plain words", "建议针灸这个穴位", "建议针这个穴位", "你饭后服即可")
+LOOKUPS = ("紫微星怎么安紫微", "针法", "紫薇星，七杀星", "学习顺序", "桂枝汤与八字", "定星表、太阳星")
+PLACE = 12
+#: What RE2 can't look ahead for is taken out of the text before the patterns that do.
+AHEAD = {"推荐经方": "推荐(?!经方)", "建议经方": "建议(?!经方)", "方剂": "(?!剂)", "配伍": "配(?!伍)", "针灸": "针(?!灸)"}
 
 
-def values(rows) -> str:
-    """SQL rows of (place, text, expected)."""
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
-    return ", ".join(f"({i}, {', '.join(map(show, row))})" for i, row in enumerate(rows))
+def planted(rows) -> str:
+    """SQL of a text with its piece of rows in it."""
+    pieces = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(rows))
+    return f"substr(text, 1, {PLACE}) || ' ' || CASE (conv_id * 5 + turn) % {len(rows)} {pieces} END || '，' || substr(text, {PLACE + 1})"
 
 
-def _asked(spark, d) -> DataFrame:
-    """Turns whose texts are questions and answers of the lists above."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+def _planted_turns(spark, d, role: str, rows) -> DataFrame:
     n = F.col("conv_id") * 5 + F.col("turn")
-    pick = lambda rows: F.element_at(F.array(*(F.lit(r[0]) for r in rows)), (n % len(rows) + 1).cast("int"))
-    return turns.withColumn("text", F.when(F.col("role") == "user", pick(QUESTIONS)).otherwise(pick(ANSWERS)))
+    piece = F.element_at(F.array(*map(F.lit, rows)), (n % len(rows) + 1).cast("int"))
+    text = F.concat(F.substring("text", 1, PLACE), F.lit(" "), piece, F.lit("，"), F.expr(f"substring(text, {PLACE + 1})"))
+    return table(spark, d, "conversations").withColumn("text", F.when(F.col("role") == role, text).otherwise(F.col("text")))
 
 
-@query(f"""WITH q(i, text, rule) AS (VALUES {values(QUESTIONS)}), a(i, text, stop) AS (VALUES {values(ANSWERS)})
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN q.rule END AS rule, role = 'assistant' AND a.stop AS answer_stopped
-FROM conversations JOIN q ON q.i = (conv_id * 5 + turn) % {len(QUESTIONS)} JOIN a ON a.i = (conv_id * 5 + turn) % {len(ANSWERS)}""")
+def _asked(spark, d) -> DataFrame:
+    """Turns with questions and answers in their texts."""
+    asked = _planted_turns(spark, d, "user", QUESTIONS).filter("role = 'user'")
+    told = _planted_turns(spark, d, "assistant", ANSWERS).filter("role <> 'user'")
+    return asked.unionByName(told).select("conv_id", "turn", "role", "text")
+
+
+def matches(*patterns: str) -> str:
+    """SQL: whether a text t (m without what is looked ahead for) matches one of the patterns."""
+    found = []
+    for p in patterns:
+        plain = p
+        for word, ahead in AHEAD.items():
+            plain = plain.replace(ahead, ahead.split("(?!")[0])
+        found.append(f"regexp_matches({'t' if plain == p else 'm'}, '{plain}')")
+    return "(" + " OR ".join(found) + ")"
+
+
+MANGLED = "t"
+for _word in AHEAD:
+    MANGLED = f"replace({MANGLED}, '{_word}', '\uFFFF')"
+RULE = f"""CASE WHEN {matches(*policy.ALWAYS)} THEN 'always'
+WHEN {matches(policy.PERSON)} AND NOT {matches(policy.STUDY_ADVICE)} AND ({matches(policy.STRONG)} OR ({matches(policy.SYMPTOM)} AND {matches(policy.WEAK, "能吃|可以吃|能用|可以用")})) THEN 'person'
+WHEN {matches("发烧|发热")} AND {matches("怎么办|怎么治")} THEN 'fever' WHEN {matches(policy.TREATED)} THEN 'symptom'
+WHEN {matches(policy.LEARNING)} AND {matches("怎么治|用什么药|用什么方|吃什么药|什么方比较好|什么药比较好")} THEN 'treatment' WHEN {matches(*policy.EXECUTABLE)} THEN 'use'
+WHEN NOT {matches(policy.LEARNING)} AND {matches(*policy.IN_CONTEXT)} THEN 'context' END"""
+TURNS = f"x AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {planted(QUESTIONS)} WHEN role = 'assistant' THEN {planted(ANSWERS)} ELSE text END AS t FROM conversations), y AS (SELECT *, {MANGLED} AS m FROM x)"
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, CASE WHEN role = 'user' THEN {RULE} END AS rule, role = 'assistant' AND {matches(*policy.IN_ANSWERS)} AS answer_stopped FROM y")
 def request_policy(spark, d):
     text = F.col("text")
     return _asked(spark, d).select("conv_id", "turn", F.when(F.col("role") == "user", policy.request_rule(text)).alias("rule"), ((F.col("role") == "assistant") & policy.answer_stopped(text)).alias("answer_stopped"))
 
 
-@query(f"""WITH q(i, text, rule) AS (VALUES {values(QUESTIONS)}), u AS (SELECT conv_id, turn, q.text, q.rule FROM conversations JOIN q ON q.i = (conv_id * 5 + turn) % {len(QUESTIONS)} WHERE role = 'user'),
-g AS (SELECT conv_id, arg_max(struct_pack(rule := rule), turn).rule AS rule, bool_or(text = '{URGENT}') AS urgent FROM u GROUP BY 1)
+@query(f"""WITH {TURNS}, u AS (SELECT conv_id, turn, t, {RULE} AS rule FROM y WHERE role = 'user'),
+g AS (SELECT conv_id, arg_max(struct_pack(rule := rule), turn).rule AS rule, bool_or(regexp_matches(t, '{policy.EMERGENCY}')) AS urgent FROM u GROUP BY 1)
 SELECT conv_id, rule, CASE WHEN rule IS NULL THEN NULL WHEN urgent THEN '{policy.EMERGENCY_REFUSAL}' ELSE '{policy.REFUSAL}' END AS reply FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g USING (conv_id)""")
 def question_routing(spark, d):
     return requests.replies(_asked(spark, d))
 
 
-@query(f"WITH a(i, text, shown) AS (VALUES {values(LISTED)}) SELECT conv_id, turn, replace(shown, '|', chr(10)) AS text FROM conversations JOIN a ON a.i = (conv_id * 5 + turn) % {len(LISTED)} WHERE role = 'assistant'")
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[^a-z]+'), lambda x: x <> '')[1:24] AS w FROM conversations WHERE role = 'assistant'), l AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+n AS (SELECT *, i % 5 = 1 AS head, count(*) FILTER (WHERE i % 5 <> 1) OVER (PARTITION BY conv_id, turn, (i - 1) // 5 ORDER BY i) AS no FROM l)
+SELECT conv_id, turn, string_agg(CASE WHEN head THEN '## ' || x ELSE no || '. ' || x END, chr(10) ORDER BY i) AS text FROM n GROUP BY 1, 2""")
 def answer_lists(spark, d):
-    n = F.col("conv_id") * 5 + F.col("turn")
-    given = F.element_at(F.array(*(F.lit(a.replace("|", "\n")) for a, _ in LISTED)), (n % len(LISTED) + 1).cast("int"))
-    return table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lists.lists_repaired(given).alias("text"))
+    """The words of an answer as list items that all have number one, under headings, four each."""
+    words = F.slice(F.filter(F.split("text", "[^a-z]+"), lambda x: x != ""), 1, 24)
+    lines = F.transform(words, lambda x, i: F.concat(F.when(i % 5 == 0, "## ").otherwise("1. "), x))
+    rows = table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", lines.alias("l")).filter(F.size("l") > 0)
+    return rows.select("conv_id", "turn", lists.lists_repaired(F.array_join("l", "\n")).alias("text"))
+
 
+LISTS = ", ".join("CASE WHEN " + " OR ".join(f"contains(q, '{w}')" for w in (topic, *words)) + " THEN [" + ", ".join(f"'{w}'" for w in words) + "] ELSE [] END" for topic, words in ranking.TOPICS.items())
 
-@query(f"WITH a(i, text, extra, entities, lookup) AS (VALUES {values(LOOKUPS)}) SELECT conv_id * 100 + turn AS query_id, extra, entities, lookup FROM conversations JOIN a ON a.i = (conv_id * 5 + turn) % {len(LOOKUPS)} WHERE role = 'user'")
+
+@query(rf"""WITH x AS (SELECT conv_id * 100 + turn AS query_id, replace({planted(LOOKUPS)}, '紫薇', '紫微') AS q FROM conversations WHERE role = 'user'),
+y AS (SELECT *, list_distinct({TOKENS.replace("{}", "q").replace("{{", "{").replace("}}", "}")}) AS own, flatten([{LISTS}]) AS more, regexp_extract_all(q, '{ranking.ENTITIES}') AS e FROM x)
+SELECT query_id, coalesce((SELECT string_agg(m, ';' ORDER BY i) FROM (SELECT m, min(i) AS i FROM (SELECT unnest(more) AS m, generate_subscripts(more, 1) AS i) GROUP BY 1) WHERE NOT list_contains(own, m)), '') AS extra,
+coalesce((SELECT string_agg(m, ';' ORDER BY i) FROM (SELECT m, min(i) AS i FROM (SELECT unnest(e) AS m, generate_subscripts(e, 1) AS i) GROUP BY 1)), '') AS entities, regexp_matches(q, '{ranking.CHART_QUERY}') AS lookup FROM y WHERE len(own) > 0""")
 def query_expansion(spark, d):
-    n = F.col("conv_id") * 5 + F.col("turn")
-    asked = F.element_at(F.array(*(F.lit(r[0]) for r in LOOKUPS)), (n % len(LOOKUPS) + 1).cast("int"))
-    rows = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), asked.alias("query"))
+    rows = _planted_turns(spark, d, "user", LOOKUPS).filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     return ranking.parsed(rows).select("query_id", F.array_join("extra", ";").alias("extra"), F.array_join("entities", ";").alias("entities"), "lookup")
 
 
@@ -180,11 +207,11 @@ def _parts(spark, d) -> DataFrame:
     return table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_name").alias("title"), F.col("p_type").alias("definition"), F.col("p_brand").alias("layer"), F.lower("p_type").alias("node_type"))
 
 
-@query(f"""WITH {EDGES}, n AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') OR contains(p_name, 'widget') OR regexp_matches(p_name, '7$') UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)
+@query(f"""WITH {EDGES}, n AS (SELECT 'p' || p_partkey AS node FROM part WHERE p_brand IN ('Brand#11', 'Brand#12') OR contains(p_name, 'widget') OR regexp_matches(p_name, '7$') UNION ALL SELECT 's' || s_suppkey FROM supplier)
 SELECT a, b FROM edges WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)""")
 def concept_edges(spark, d):
     parts = graph.concept(_parts(spark, d), layers=("Brand#11", "Brand#12"), inside=("widget",), pattern="7$").select("node")
-    nodes = parts.unionAll(table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
+    nodes = parts.unionAll(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
     return graph.both_ends(graph.undirected(_links(spark, d)), nodes)
 
 

@@ -28,8 +28,6 @@ from . import retrieval
 BUCKETS = 64
 #: Documents of a block, a power of two.
 BLOCK = 64
-#: Parts that a bucket's rows are dealt to, so that no token's list is one task.
-SLICES = 16
 #: Blocks that a query visits first, and the share of the score to beat that tokens read last may add up to.
 FIRST, LIGHT = 4, 0.5
 #: Rounding to four places can lift a score by so much.
@@ -50,7 +48,7 @@ def write(docs: DataFrame, path: str, settings: Retrieval = Retrieval(), least_d
     if shared.exists(spark, path):
         raise FileExistsError(path)
     made = f"{path}-{shared.place(spark, 'making').rsplit('-', 1)[1]}"
-    rows = retrieval.counted(docs, words(F.col(text)), key, *by).withColumnRenamed(key, "doc")
+    rows = retrieval.counted(retrieval.spread_out(docs.select(key, text, *by)), words(F.col(text)), key, *by).withColumnRenamed(key, "doc")
     # shuffled to an order first, numbered where they lie then: numbers are read from the table, so they never change
     ordered = rows.repartitionByRange(*by, "dl", "doc").sortWithinPartitions(*by, "dl", "doc")
     ordered.select(F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block"), "doc", "dl", "tf").write.parquet(f"{made}/{FORWARD}")
@@ -59,9 +57,10 @@ def write(docs: DataFrame, path: str, settings: Retrieval = Retrieval(), least_d
     total.select("n", "total", F.coalesce(four_places(F.try_divide("total", "n")), F.lit(0.0)).alias("avgdl"), F.lit(settings.k1).alias("k1"), F.lit(settings.b).alias("b")).coalesce(1).write.parquet(f"{made}/{CORPUS}")
     avgdl = spark.read.parquet(f"{made}/{CORPUS}").first().avgdl
     dealt = forward.select("block", "doc", "dl", F.explode_outer("tf").alias("t")).select("block", "doc", "dl", "t.token", "t.tf").filter("token IS NOT NULL")
-    dealt = dealt.withColumns({"bucket": bucket(F.col("token")), "slice": F.pmod(F.xxhash64("block"), F.lit(SLICES))})
-    weight = retrieval.term_weight(settings, F.lit(avgdl))
+    # a bucket is dealt to as many tasks as there are for it, so that no token's list is one task of many
     parts = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.withColumns({"bucket": bucket(F.col("token")), "slice": F.pmod(F.xxhash64("block"), F.lit(-(-parts // BUCKETS)))})
+    weight = retrieval.term_weight(settings, F.lit(avgdl))
     # one shuffle for the groups and for the files
     lists = dealt.repartition(parts, "bucket", "slice").groupBy("bucket", "slice", "token", "block").agg(F.max(weight).alias("most"), F.count("*").alias("held"), F.collect_list(F.struct("doc", "tf", "dl")).alias("docs"))  # BLOCK documents at most
     lists.drop("slice").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{made}/{POSTINGS}")
@@ -114,9 +113,9 @@ class Index:
         """What retrieval.bm25 gives, from the index: every document that matches."""
         return self.scored(self.hits(queries), settings)
 
-    def top(self, queries: DataFrame, limit: int, settings: Retrieval = Retrieval()) -> tuple[DataFrame, DataFrame]:
-        """(query_id, doc_id, score, terms, rank) of each query's best; and one row (scored, held): postings scored, and all of the
-        queries' tokens. The result is a table in the shared folder; k1 and b must be those that the index was written with."""
+    def top(self, queries: DataFrame, limit: int, settings: Retrieval = Retrieval(), measure: bool = False) -> tuple[DataFrame, DataFrame | None]:
+        """(query_id, doc_id, score, terms, rank) of each query's best; and, to measure, one row (scored, held): postings scored, and
+        all of the queries' tokens. The result is a table in the shared folder; k1 and b must be those that the index was written with."""
         kept = self.part(CORPUS).first()
         if (kept.k1, kept.b) != (settings.k1, settings.b):
             raise ValueError(f"the index was written for k1={kept.k1}, b={kept.b}")
@@ -148,12 +147,15 @@ class Index:
         whole = shared.written(able.select("query_id", "doc", "raw", "terms", "asked").unionByName(more).groupBy("query_id", "doc").agg(F.sum("raw").alias("raw"), F.sum("terms").alias("terms"), F.max("asked").alias("asked")), "whole")
         fine = whole.filter(F.col("terms") >= F.least(F.lit(settings.min_terms), F.col("asked"))).select("query_id", F.col("doc").alias("doc_id"), four_places(F.col("raw")).alias("score"), "terms")
         out = shared.written(retrieval.best(fine.unionByName(best.drop("rank")), limit), "top")
+        shares = self._shares(rows, first, split, later, able, whole) if measure else None
+        shared.drop(rows, first, best, split, later, able, whole)
+        return out, shares
+
+    def _shares(self, rows: DataFrame, first: DataFrame, split: DataFrame, later: DataFrame, able: DataFrame, whole: DataFrame) -> DataFrame:
         total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("long")).first()[0]
         read = total(_of(rows, first, "query_id", "block"), "held") + total(_of(_of(rows, later, "query_id", "block"), split.filter("NOT light").select("query_id", "token"), "query_id", "token"), "held")
         scored = read + total(whole, "terms") - total(able, "terms")
-        shares = self.spark.createDataFrame([(scored, total(rows, "held"))], "scored long, held long")
-        shared.drop(rows, first, best, split, later, able, whole)
-        return out, shares
+        return self.spark.createDataFrame([(scored, total(rows, "held"))], "scored long, held long")
 
 
 def _of(rows: DataFrame, few: DataFrame, *on: str) -> DataFrame:

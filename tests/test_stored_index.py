@@ -42,7 +42,7 @@ def test_rankings_equal_the_full_ones(corpus, queries, index):
         full = shared.written(retrieval.bm25(corpus[0], queries, settings), "full")
         assert held(index.bm25(queries, settings)) == held(full)
         for limit in limits:
-            got, shares = index.top(queries, limit, settings)
+            got, shares = index.top(queries, limit, settings, measure=True)
             assert held(got.select("query_id", "doc_id", "score", "terms", "rank")) == held(retrieval.best(full, limit).select("query_id", "doc_id", "score", "terms", "rank"))
             share = shares.first()
             assert 0 < share.scored <= share.held * (0.6 if limit == 1 else 1)
@@ -81,5 +81,5 @@ def test_an_index_is_whole_or_not_there(spark, corpus, index):
 
 def test_an_empty_corpus(spark, queries):
     made = sinks.index_sink(spark.createDataFrame([], "doc_id long, text string"), shared.place(spark, "none"))
-    got, shares = made.top(queries, 5)
+    got, shares = made.top(queries, 5, measure=True)
     assert got.collect() == [] and tuple(shares.first()) == (0, 0)

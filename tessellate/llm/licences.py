@@ -7,7 +7,9 @@ longer known sentences first. A sentence that speaks of licences but is not know
 text is matched against ordered rules: each rule is a sequence of identifiers that stand next to each other, and replaces
 them by its licence; earlier rules win. Identifiers left over that name a licence alone give it; others are unmatched.
 
-Null and empty texts have no licence. Repeated rows get equal results; all columns but doc_id and text are left alone.
+Null and empty texts have no licence. Repeated rows get equal results; all columns but doc_id and text are left alone. Ids may be
+null or repeated, an empty table gives an empty table, a text of any length is a step of its own. Ties: of rules and sentences
+that both match the earlier rule and the longer sentence win.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ tables over two coarser bins, boosted the same way. A score is the logistic of t
 figure and pair: additions over binned columns.
 
 Training takes SAMPLE labelled rows at most (the least by hash of the id). Null and empty texts have figures of zero and are
-scored like any other. Null labels are left out; with no labels every score is 0.5. Repeated rows get equal scores.
+scored like any other. Null labels are left out; with no labels every score is 0.5. Repeated rows get equal scores. Ids may be
+null (never labelled) or repeated, an empty table gives an empty table, a text of any length is a step of its own, and no other
+column is read. Ties between pairs and splits go to the first.
 """
 
 from __future__ import annotations

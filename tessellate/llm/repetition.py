@@ -7,7 +7,7 @@ The spans of all maximal repeats of min_words or more are united; the rule limit
 longest repeat.
 
 Null, empty and blank texts have no words and fail the base rule. Repeated rows are judged one by one. Other columns are
-not read, so they can't clash. Memory: about 100 bytes for each word of a step of base.STEP_BYTES (or of one longer text).
+not read, so they can't clash. Ids may be null or repeated; an empty table gives an empty table. Memory: about 100 bytes for each word of a step of base.STEP_BYTES (or of one longer text).
 """
 
 from __future__ import annotations

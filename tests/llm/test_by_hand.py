@@ -151,7 +151,8 @@ def test_sql_states_the_repetition_query(spark):
     if not tables.exists():
         pytest.skip("no tables")
     made = duckdb.connect()
-    made.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
+    for name in ("documents", "benchmark"):
+        made.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tables}/{name}.parquet'")
     for name, sql in catalog.SQL.items():
         got, want = catalog.QUERIES[name](spark, str(tables)).toPandas(), made.execute(sql).df()
         columns = sorted(got.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Limits
 from ..operators import traffic
 from ..sources import shared
 from . import stateful
@@ -42,13 +43,17 @@ def deliver(reports: DataFrame, path: str, force: bool = False) -> None:
     publish(reports.sparkSession, path, written(reports, path, force))
 
 
+#: Keys that the visitors of a site's day are dealt to.
+PARTS = 16
+
+
 def daily_run(views: DataFrame, path: str, late: str = "1 day", force: bool = False) -> None:
-    """Send the reports of the days that a stream of views (site, visitor, ts) has closed since the last run."""
+    """Send the reports of the days that a stream of views (site, visitor, ts) has closed since the last run; all visitors count."""
 
     def one(batch: DataFrame, number: int) -> None:
-        closed = batch.filter("closed").select("day", "site", "pv", "uv").persist()
+        closed = batch.filter("closed").groupBy("day", "site").agg(F.sum("pv").alias("pv"), F.sum("uv").alias("uv")).persist()
         if not closed.isEmpty():
             deliver(traffic.report_text(traffic.by_site(closed, closed)), path, force)
         closed.unpersist()
 
-    stateful.drive(stateful.visitor_stream(views, late).writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint"), timers=True)
+    stateful.drive(stateful.visitor_stream(views, late, Limits(uv_most=None), PARTS).writeStream.foreachBatch(one).option("checkpointLocation", f"{path}/checkpoint"), timers=True)

@@ -19,7 +19,8 @@ def units(text: Column, settings: Chunks) -> Column:
 
     A paragraph is a piece; one over `most` characters gives its sentences, the first of which starts a chunk.
     """
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n+"), bare), lambda p: p != "")
+    text = F.coalesce(text, F.lit(""))
+    paragraphs = F.filter(F.transform(F.split(text, settings.breaks) if settings.breaks else F.array(text), bare), lambda p: p != "")
     unit = lambda piece, glue, starts: F.struct(piece.alias("piece"), F.lit(glue).alias("glue"), starts.alias("starts"))
     sentences = lambda p: F.filter(F.split(p, f"(?<=[{re.escape(settings.ends)}])"), lambda s: s != "")
     each = F.transform(paragraphs, lambda p: F.when(F.length(p) <= settings.most, F.array(unit(p, "\n\n", F.lit(False)))).otherwise(F.transform(sentences(p), lambda s, n: unit(s, "", n == 0))).cast(UNIT))

@@ -100,13 +100,22 @@ class Index:
         corpus = self.part(CORPUS)
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         heavy = self.part(TERMS).filter(here).join(small(asked), ["bucket", "token"]).crossJoin(F.broadcast(corpus.select("n")))  # one row
-        return self.part(POSTINGS).filter(here).join(small(heavy.select("query_id", "asked", "bucket", "token", idf.alias("idf"))), ["bucket", "token"])
+        asking = heavy.select("query_id", "asked", "bucket", "token", idf.alias("idf"))
+        posts = self.part(POSTINGS).filter(here)
+        if some.n > retrieval.BROADCAST_ROWS:
+            return posts.join(asking, ["bucket", "token"])
+        # lists are dealt by block before they meet each query of their token: what leaves a task is a list, once, and no posting
+        posts = posts.join(F.broadcast(asking.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi")
+        return posts.repartition("block").join(F.broadcast(asking), ["bucket", "token"])
 
     def scored(self, hits: DataFrame, settings: Retrieval) -> DataFrame:
-        """(query_id, doc_id, score, terms) of the documents of hits that hold min_terms of a query's tokens or more."""
+        """(query_id, doc_id, score, terms) of the documents of hits that hold min_terms of a query's tokens or more.
+
+        A document's postings are in its block, so blocks that are dealt whole add up where they are.
+        """
         avgdl = self.part(CORPUS).select("avgdl")
-        rows = hits.select("query_id", "asked", "idf", F.inline("docs")).crossJoin(F.broadcast(avgdl))  # one row
-        out = rows.groupBy("query_id", F.col("doc").alias("doc_id")).agg(F.sum(F.col("idf") * retrieval.term_weight(settings, F.col("avgdl"))).alias("raw"), F.count("*").alias("terms"), F.first("asked").alias("asked"))
+        rows = hits.select("query_id", "asked", "idf", "block", F.inline("docs")).crossJoin(F.broadcast(avgdl))  # one row
+        out = rows.groupBy("query_id", "block", F.col("doc").alias("doc_id")).agg(F.sum(F.col("idf") * retrieval.term_weight(settings, F.col("avgdl"))).alias("raw"), F.count("*").alias("terms"), F.first("asked").alias("asked"))
         return out.filter(F.col("terms") >= F.least(F.lit(settings.min_terms), F.col("asked"))).select("query_id", "doc_id", four_places(F.col("raw")).alias("score"), "terms")
 
     def bm25(self, queries: DataFrame, settings: Retrieval = Retrieval()) -> DataFrame:

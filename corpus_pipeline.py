@@ -38,6 +38,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component of near copies: that of the least id, then of the least hash of its text.
 
+    Candidates are found by op3's SimHash trie, beyond its 3 bits by min-hashes, and compared exactly.
     A row without an id stays if no row with one is like it; different texts with one id both stay.
     """
     return nearcopies.representatives(docs)

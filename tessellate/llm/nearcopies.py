@@ -1,11 +1,12 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of LEAST or more.
 
-At 0.8 two 64-bit SimHash fingerprints differ in about ten bits, a budget at which a trie prunes next to nothing. So candidates
-come from min-hashes: BANDS keys of ROWS minima each, and texts with a key alike are one bucket (at 0.8 a pair shares none
-with probability 0.0004). Within a bucket the sets themselves are compared, so no pair below LEAST is ever linked. Texts with
-equal sets are one class and compared once. A bucket of over HOT classes is dealt in pairs of its parts, so that any two of
-its classes still meet: a bucket of n classes costs up to n * n / HOT rows. Components of the links are the groups of near
-copies.
+Candidates come from op3's trie: each class of texts gets a SimHash fingerprint of its set, the trie joins those that differ in
+3 bits or fewer, and what these links connect is one bucket. At 0.8 two fingerprints differ in about ten bits, a budget at which
+a trie prunes next to nothing. So what lies beyond 3 bits comes from min-hashes: BANDS keys of ROWS minima each, and texts with
+a key alike are a bucket too (at 0.8 a pair shares none with probability 0.0004). Within a bucket the sets themselves are
+compared, so no pair below LEAST is ever linked. Texts with equal sets are one class and compared once. A bucket of over HOT
+classes is dealt in pairs of its parts, so that any two of its classes still meet: a bucket of n classes costs up to n * n / HOT
+rows. Components of the links are the groups of near copies.
 
 Words are split at ASCII white space and ASCII letters lowered. A text of five words or fewer is one shingle; null texts and texts without a
 word are one class. Rows with a null doc_id take part like any other, repeated rows are one class, an empty table has no rows. A
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import base
+from . import base, simhash
 from .components import components
 
 SHINGLE = 5
@@ -34,7 +35,7 @@ HOT = 128
 
 _SEEDS = base.mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, BANDS, ROWS)
 FLIP, TIMES = _SEEDS[0], _SEEDS[1] | np.uint64(1)
-ROW = "doc_id long, th long, c long"
+ROW = "doc_id long, th long, c long, fp long"
 
 
 def shingles(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -98,18 +99,29 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, th, c, keys) of every row: hash of the text, class, band keys. No shuffle."""
+    """(doc_id, th, c, fp, keys) of every row: hash of the text, class, fingerprint of the set, band keys. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
             sets = shingles(base.pieces(*base.utf8(part.column(2))), size)
             keys = band_keys([s for s in sets if len(s)])
             at = np.cumsum([0, *(BANDS * bool(len(s)) for s in sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes_of(sets)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))], ["doc_id", "th", "c", "keys"])
+            fp = simhash.voted(np.concatenate(sets), np.array(list(map(len, sets)), np.int64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(classes_of(sets)), pa.array(fp), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))], ["doc_id", "th", "c", "fp", "keys"])
 
     return _source(docs).mapInArrow(run, f"{ROW}, keys array<long>")
 
 
+def _met_in_trie(classes: DataFrame) -> DataFrame:
+    """classes (c, fp, keys, ...) with one key more, before the others: the component of the trie's links that a fingerprint is in.
+
+    The class of empty sets gets none.
+    """
+    found = components(simhash.links(classes.select("fp").distinct()), "near-trie")
+    key = F.when(F.col("c") != 0, F.xxhash64(F.lit("trie"), F.coalesce("component", "fp")))
+    return classes.join(found, classes.fp == found.node, "left").withColumn("keys", F.concat(F.array_compact(F.array(key)), "keys")).drop("node", "component")
+
+
 def _members(classes: DataFrame, hot: int) -> DataFrame:
     """(key, c): the classes that are compared with each other; buckets of the same classes are taken once.
 
@@ -162,9 +174,11 @@ def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, size: int = SHINGLE, least: float = LEAST, hot: int = HOT) -> DataFrame:
     """(doc_id, th, c, component): of each class of texts one row, that with the least id (null last), then hash of the text."""
     rows = base.written(_rows(docs, size), "near-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "keys")).alias("r")
-    classes = base.written(rows.groupBy("c").agg(first).select("r.doc_id", "r.th", "c", "r.keys"), "near-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th", "fp", "keys")).alias("r")
+    firsts = base.written(rows.groupBy("c").agg(first).select("r.doc_id", "r.th", "c", "r.fp", "r.keys"), "near-firsts")
     base.drop(rows)
+    classes = base.written(_met_in_trie(firsts), "near-classes")
+    base.drop(firsts)
     members = base.written(_members(classes, hot), "near-members")
     sets = base.written(_sets(docs, classes.join(members.select("c").distinct(), "c", "left_semi"), size), "near-sets")
     found = components(_links(members, sets, least), "near-links")

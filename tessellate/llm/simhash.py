@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from . import base
 from .components import components
-from .nearcopies import representatives  # noqa: F401  (what the pipeline keeps)
 
 SHINGLE = 3
 BUDGET = 3
@@ -60,11 +59,14 @@ def simhash(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
         ends.append(len(line))
         hashes.extend([digest(line[s:e], 42) for s, e in zip(starts, ends)])
         counts.append(len(ends))
-    n = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return voted(np.array(hashes, np.uint64), np.array(counts, np.int64))
+
+
+def voted(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """uint64 fingerprints of n[0], n[1], ... hashes in turn: a bit is one if it is in over half of them; 0 for none."""
+    out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
-        h = np.array(hashes, np.uint64)
         first = (np.cumsum(n) - n)[full]
         for bit in range(64):
             ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), first)
@@ -238,6 +240,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """What the pipeline keeps."""
+    from . import nearcopies  # it takes its candidates from here
+
+    return nearcopies.representatives(docs)
+
+
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(base.documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

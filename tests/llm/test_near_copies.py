@@ -2,7 +2,10 @@
 
 import random
 
-from tessellate.llm import nearcopies
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessellate.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -80,3 +83,28 @@ def test_rows_without_id_and_shared_ids_survive(spark):
     near_d = [r for r in got if (r[1] or "").startswith(d)]
     assert len(near_d) == 1 and near_d[0][0] is None
     assert sorted((r for r in got if r not in near_d), key=str) == sorted([(None, a), (7, b), (7, c), (9, e), (1, None)], key=str)
+
+
+def test_candidates_come_from_the_trie(spark, monkeypatch):
+    """With no min-hash keys at all, what is found is what the trie's fingerprints, 3 bits or fewer apart, connect."""
+    rng, texts = random.Random(4), []
+    for _ in range(8):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(1200)]
+        texts.append(" ".join(words))
+        for n in (1, 1, 2, 60):
+            copy = list(words)
+            for at in rng.sample(range(1200), n):
+                copy[at] = "new" + str(rng.randrange(10**6))
+            texts.append(" ".join(copy))
+    sets = nearcopies.shingles([t.encode() for t in texts])
+    prints = [int(simhash.voted(s, np.array([len(s)]))[0]) for s in sets]
+    root = list(range(len(texts)))
+    for _ in range(5):  # least place that it reaches over near fingerprints
+        root = [min(root[j] for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 3) for i in range(len(texts))]
+    for i in range(len(texts)):  # every one that meets another is alike to it here
+        assert all(alike(texts[i], texts[j]) for j in range(i) if root[i] == root[j])
+    assert 8 < len(set(root)) < len(texts)
+    rows = nearcopies._rows
+    monkeypatch.setattr(nearcopies, "_rows", lambda docs, size: rows(docs, size).withColumn("keys", F.array().cast("array<long>")))
+    got = nearcopies.near_copies(spark.createDataFrame([*enumerate(texts), (99, None)], SCHEMA)).collect()
+    assert same_partition([r.component for r in got], [root[r.doc_id] if r.doc_id < 99 else -1 for r in got])

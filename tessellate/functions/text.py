@@ -75,11 +75,12 @@ def clean_path(path: Column) -> Column:
     return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
 
 
-#: Fixed patterns of personal data; (?U) gives \w and \s their Unicode meaning.
+#: Fixed patterns of personal data; (?U) gives \d and \s their Unicode meaning. What may not touch an address is a letter or number
+#: of any kind (½ and circled ones too), not the marks and joiners that a Unicode \w holds.
 PRIVATE = {
     "mobile": r"(?U)(?<!\d)1[3-9]\d{9}(?!\d)",
     "id_card": r"(?U)(?<!\d)(?:\d{17}[0-9Xx]|\d{15})(?!\d)",
-    "email": r"(?U)(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\w.-])",
+    "email": r"(?<![\p{L}\p{N}_.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\p{L}\p{N}_.-])",
     "name_label": r"(?U)(患者|病人|患名|姓名|名字|家属|联系人|就诊人|主诉人|主诉患者|首诊患者)[：:\s]+([一-龥]{2,4})",
     "medical_record": r"(?U)(病历号|住院号|门诊号|档案号|病案号|就诊号|保健号|医保号|社保号|卡号)[：:\s]*([A-Za-z0-9\-]{4,30})",
     "address_full": r"(?U)(?:(?:北京|上海|天津|重庆)(?:市)?[一-龥]{0,10}(?:区|县)|[一-龥]{2,6}(?:省|自治区|特别行政区)[一-龥]{1,10}(?:市|地区|盟|自治州)[一-龥]{0,10}(?:区|县|旗|市)?)[一-龥]{0,30}(?:路|街|巷|弄|村|镇|乡|大道|大街)[一-龥\d]{0,20}(?:号|室|楼|栋|单元)?[\d\-]*",

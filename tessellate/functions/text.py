@@ -88,7 +88,7 @@ PRIVATE = {
 }
 #: Paths of a home folder, and what of one is made relative: a path with something after the user's name.
 HOME = r"""(?U)/(?:Users|home)/[^\s\]\[()<>"'，。；：、]+(?:/[^\s\]\[()<>"'，。；：、]+)*"""
-RELATIVE = r"""(?U)/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/([^\s\]\[()<>"'，。；：、]*)"""
+RELATIVE = r"""(?U)/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/%s([^\s\]\[()<>"'，。；：、]*)"""
 #: Counted, never masked.
 SCANNED = PRIVATE | {"local_path": HOME, "institution": "[一-龥]{2,15}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)"}
 #: Of what is scanned, what alone doesn't block a corpus.
@@ -124,10 +124,8 @@ def link_text(inner: Column) -> Column:
 
 
 def _relative(text: Column, roots: tuple[str, ...]) -> Column:
-    text = F.regexp_replace(text, RELATIVE, "\uE000$1")
-    for root in roots:
-        text = F.replace(text, F.lit("\uE000" + root), F.lit(""))
-    return F.replace(text, F.lit("\uE000"), F.lit(""))
+    lead = "(?:" + "|".join(rf"\Q{root}\E" for root in roots) + ")?" if roots else ""
+    return F.regexp_replace(text, RELATIVE % lead, "$1")
 
 
 def linked(text: Column) -> Column:

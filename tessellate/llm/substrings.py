@@ -315,7 +315,8 @@ def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: r, q, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text)."""
+    """One row per row of docs: r, q, doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is kept, without what a cut leaves
+    of a character), kept (its bytes)."""
     rows, spans = repeated_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,12 +329,12 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             edge[heads] = gone[heads]
             kept = base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], pa.array(np.diff(at)), pa.array(base.per_text(gone, at)), pa.array(base.per_text(edge, at)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
-                ["r", "q", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [*part.columns[:3], pa.array(np.diff(at)), pa.array(base.per_text(gone, at)), pa.array(base.per_text(edge, at)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(kept, pa.binary())],
+                ["r", "q", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"],
             )
 
     placed = rows.join(spans.hint("shuffle_hash"), ["r", "q"], "left").select("r", "q", "doc_id", "text", "marks", "starts")
-    return placed.mapInArrow(run, "r long, q int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return placed.mapInArrow(run, "r long, q int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept binary")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

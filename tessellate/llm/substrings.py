@@ -16,6 +16,10 @@ Steps, all counts with map-side combining:
    classes of different tasks meet by two independent hashes besides the core's.
 4. each text is cut at the united spans.
 
+Two lengths at once (op7's query: strings of LENGTH bytes, and passages of PASSAGE bytes, some 50 words): steps 1 to 3 take the smaller
+one over all texts, then the greater one over the runs of its spans that are long enough. No string of the greater length that
+occurs twice lies elsewhere, as all its parts occur twice too. Of runs that are equal one is looked at, and all are covered whole.
+
 Null and empty texts and those under LENGTH bytes lose nothing of their own. Repeated rows are copies of each other and
 lose all they hold. A row is known by 96 bits of two hashes of its id and text, so ids may be null or repeated. Other columns
 are not read; cut_documents keeps them, whatever their names. An empty table gives no rows. A text of any length is a step of
@@ -37,6 +41,8 @@ from pyspark.sql import functions as F
 from . import base
 
 LENGTH = 400
+#: Passages of over 50 words: 50 words of six bytes with their space.
+PASSAGE = 300
 #: Starts among which an anchor is chosen; under 128 and under the length.
 SPAN = 100
 #: Window starts that are looked at together; a longer text is looked at in parts.
@@ -203,15 +209,17 @@ def window_classes(data: np.ndarray, starts: np.ndarray, core: np.ndarray, offse
 
 
 MARKS = "array<struct<at:long,core:long,whole:boolean,windows:boolean>>"
+#: Bits of a mark below its anchor's place.
+PLACE = 14
 
 
 def _pack(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Anchor and how far before it its first and last windows start, in one long."""
-    return (anchor << 14) | ((anchor - first) << 7) | (anchor - last)
+    return (anchor << PLACE) | ((anchor - first) << 7) | (anchor - last)
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    anchor = at >> 14
+    anchor = at >> PLACE
     return anchor, anchor - (at >> 7 & 127), anchor - (at & 127)
 
 
@@ -226,6 +234,13 @@ def _fields(marks: pa.Array) -> tuple[np.ndarray, ...]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(rows with their key r, q; (r, q, marks, starts)): contexts covered whole, and starts of other repeated windows."""
+    r, q = base.key_of(docs)
+    rows = docs.select(r.alias("r"), q.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows, _spans(rows.select("r", "q", "text"), length)
+
+
+def _spans(rows: DataFrame, length: int, sift: bool = True) -> DataFrame:
+    """(r, q, marks, starts) of rows (r, q, text). sift: step 1, which changes no result and spares little where most cores are repeated."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
@@ -251,13 +266,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
             own = part.select([0, 1]).take(pa.array(owner[of]))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(inner[of].astype(np.int32)), pa.array(np.where(np.repeat(whole, count)[of], 2, 1).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["r", "q", "s", "n", "one", "two"])
 
-    r, q = base.key_of(docs)
-    rows = docs.select(r.alias("r"), q.alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = base.written(rows.select("r", "q", "text").mapInArrow(find, "r long, q int, at long, core long, context long"), "anchors")
+    found = base.written(rows.mapInArrow(find, "r long, q int, at long, core long, context long"), "anchors")
     # counts are written before they are joined: both sides of the join are then plain exchanges, which split where skewed
-    cores = base.written(found.groupBy("core").count().filter("count > 1").select("core"), "cores")
-    repeated = base.written(found.join(cores, "core").select("r", "q", "at", "core", "context"), "anchors-repeated")
-    base.drop(found, cores)
+    repeated = found
+    if sift:
+        cores = base.written(found.groupBy("core").count().filter("count > 1").select("core"), "cores")
+        repeated = base.written(found.join(cores, "core").select("r", "q", "at", "core", "context"), "anchors-repeated")
+        base.drop(found, cores)
     place = F.struct("r", "q", "at")
     classes = base.written(repeated.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(place).alias("one")), "classes")
     kinds = base.written(classes.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
@@ -268,13 +283,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     marked = marked.select("r", "q", F.struct("at", "core", (~single).alias("whole"), (F.col("kinds").isNotNull() & (single | (place == F.col("one")))).alias("windows")).alias("mark")).filter("mark.whole OR mark.windows")
     marks = base.written(marked.groupBy("r", "q").agg(F.collect_set("mark").alias("marks")), "anchors-marked")  # rows that are equal have one set
     base.drop(repeated, contexts)
-    asked = rows.select("r", "q", "text").join(marks.filter("exists(marks, m -> m.windows)").select("r", "q", F.expr("filter(marks, m -> m.windows)").alias("marks")).hint("shuffle_hash"), ["r", "q"])
+    asked = rows.join(marks.filter("exists(marks, m -> m.windows)").select("r", "q", F.expr("filter(marks, m -> m.windows)").alias("marks")).hint("shuffle_hash"), ["r", "q"])
     seen = base.written(asked.mapInArrow(windows, "r long, q int, s int, n int, one long, two long"), "windows")
     twice = base.written(seen.groupBy("one", "two").agg(F.sum("n").alias("m")).filter("m > 1").select("one", "two"), "windows-repeated")
     starts = seen.filter("n = 1").join(twice, ["one", "two"]).groupBy("r", "q").agg(F.collect_list("s").alias("starts"))
     spans = base.written(marks.select("r", "q", F.expr("transform(filter(marks, m -> m.whole), m -> m.at)").alias("marks")).join(starts, ["r", "q"], "full"), "spans")
     base.drop(marks, seen, twice)
-    return rows, spans
+    return spans
+
+
+def _longer(rows: DataFrame, spans: DataFrame, passage: int, length: int) -> DataFrame:
+    """(r, q, marks, starts) for a length, of rows (r, q, text) whose spans for a smaller one are known."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in base.steps(batches):
+            data, at = base.utf8(part.column(2))
+            gone = _gone(data, at, part.column(3), part.column(4), passage)
+            first, end = np.flatnonzero(_edges(gone, at)), np.flatnonzero(_edges(gone[::-1], len(data) - at[::-1])[::-1]) + 1
+            long = end - first >= length
+            first, end = first[long], end[long]
+            owner = np.searchsorted(at, first, "right") - 1
+            raw = data.tobytes()
+            texts = pa.array([raw[s:e] for s, e in zip(first.tolist(), end.tolist())], pa.binary()).view(pa.string())  # may begin within a character
+            own = part.select([0, 1]).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(first - at[owner]), texts], ["r", "q", "b", "text"])
+
+    some = spans.filter("coalesce(size(marks), 0) > 0 OR starts IS NOT NULL")
+    found = rows.join(some.hint("shuffle_hash"), ["r", "q"]).select("r", "q", "text", "marks", "starts").mapInArrow(runs, "r long, q int, b long, text string")
+    parts = base.written(found.select(F.xxhash64("text").alias("pr"), F.hash("text").alias("pq"), "*", F.octet_length("text").alias("size")), "passages")
+    kinds = base.written(parts.groupBy("pr", "pq").agg(F.count("*").alias("n"), F.min(F.struct("r", "q", "b")).alias("one")), "passage-kinds")
+    texts = base.written(parts.join(kinds.select("one.*").hint("shuffle_hash"), ["r", "q", "b"]).select(F.col("pr").alias("r"), F.col("pq").alias("q"), "text"), "passage-texts")
+    inner = _spans(texts, length, sift=False)
+    each = kinds.join(inner.select(F.col("r").alias("pr"), F.col("q").alias("pq"), "marks", "starts"), ["pr", "pq"], "left").select("pr", "pq", "n", "marks", "starts")
+    placed = parts.select("pr", "pq", "r", "q", "b", "size").distinct().join(each, ["pr", "pq"])  # rows that are equal have the same parts
+    marks = F.expr(f"CASE WHEN n = 1 THEN transform(marks, m -> m + (b << {PLACE})) END")
+    whole = f"array_append(sequence(0, size - {length}, {length}), size - {length})"
+    starts = F.expr(f"transform(CASE WHEN n > 1 THEN {whole} ELSE starts END, s -> cast(s + b AS int))")
+    out = base.written(placed.select("r", "q", marks.alias("marks"), starts.alias("starts")).groupBy("r", "q").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("marks", "starts"))), "spans-longer")
+    base.drop(parts, kinds, texts, inner)
+    return out
 
 
 def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array, length: int) -> np.ndarray:
@@ -289,6 +336,19 @@ def _gone(data: np.ndarray, at: np.ndarray, marks: pa.Array, starts: pa.Array, l
     return np.cumsum(change[:-1]) > 0
 
 
+def _edges(gone: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which bytes begin a run of those that go; a run ends with its text."""
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    heads = at[:-1][np.diff(at) > 0]
+    edge[heads] = gone[heads]
+    return edge
+
+
+def _kept(data: np.ndarray, at: np.ndarray, gone: np.ndarray) -> list[bytes]:
+    return base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))
+
+
 def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the bytes under repeated strings cut out of text (what is no longer UTF-8 at a cut is left out too) and, if
     there, n_chars counted anew."""
@@ -301,7 +361,7 @@ def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for part in base.steps(batches):
             data, at = base.utf8(part.column(text))
             gone = _gone(data, at, part.column(len(names)), part.column(len(names) + 1), length)
-            kept = [x.decode("utf-8", "ignore") for x in base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))]
+            kept = [x.decode("utf-8", "ignore") for x in _kept(data, at, gone)]
             columns = list(part.columns[: len(names)])
             columns[text] = pa.array(kept, pa.string())
             if chars >= 0:
@@ -314,28 +374,34 @@ def cut_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return placed.select(*[F.col(f"`{c}`") for c in names], marks, starts).mapInArrow(run, schema)
 
 
-def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """One row per row of docs: r, q, doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is kept, without what a cut leaves
-    of a character), kept (its bytes)."""
-    rows, spans = repeated_spans(docs, length)
+    of a character), kept (its bytes). With a passage (a smaller length) also n_in_passages (bytes under strings of that length that occur
+    again) and text_without_passages."""
+    rows, spans = repeated_spans(docs, passage or length)
+    schema = "r long, q int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept binary"
+    if passage:
+        longer = _longer(rows.select("r", "q", "text"), spans, passage, length)
+        spans = spans.withColumnsRenamed({"marks": "passage_marks", "starts": "passage_starts"}).join(longer, ["r", "q"], "left")
+        schema += ", n_in_passages long, text_without_passages string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in base.steps(batches):
             data, at = base.utf8(part.column(3))
             gone = _gone(data, at, part.column(4), part.column(5), length)
-            edge = gone.copy()
-            edge[1:] &= ~gone[:-1]
-            heads = at[:-1][np.diff(at) > 0]
-            edge[heads] = gone[heads]
-            kept = base.pieces(data[~gone], np.concatenate([[0], np.cumsum(base.per_text(~gone, at))]))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], pa.array(np.diff(at)), pa.array(base.per_text(gone, at)), pa.array(base.per_text(edge, at)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(kept, pa.binary())],
-                ["r", "q", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"],
-            )
+            kept = _kept(data, at, gone)
+            columns = [*part.columns[:3], pa.array(np.diff(at)), pa.array(base.per_text(gone, at)), pa.array(base.per_text(_edges(gone, at), at)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(kept, pa.binary())]
+            names = ["r", "q", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept"]
+            if passage:
+                gone = _gone(data, at, part.column(6), part.column(7), passage)
+                columns += [pa.array(base.per_text(gone, at)), pa.array([x.decode("utf-8", "ignore") for x in _kept(data, at, gone)], pa.string())]
+                names += ["n_in_passages", "text_without_passages"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    placed = rows.join(spans.hint("shuffle_hash"), ["r", "q"], "left").select("r", "q", "doc_id", "text", "marks", "starts")
-    return placed.mapInArrow(run, "r long, q int, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept binary")
+    placed = rows.join(spans.hint("shuffle_hash"), ["r", "q"], "left")
+    more = ["passage_marks", "passage_starts"] if passage else []
+    return placed.select("r", "q", "doc_id", "text", "marks", "starts", *more).mapInArrow(run, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(base.documents(spark, sf_dir)).drop("r", "q", "kept")
+    return cut(base.documents(spark, sf_dir), passage=PASSAGE).drop("r", "q", "kept")

@@ -315,11 +315,11 @@ def _longer(rows: DataFrame, spans: DataFrame, passage: int, length: int) -> Dat
     texts = base.written(parts.join(kinds.select("one.*").hint("shuffle_hash"), ["r", "q", "b"]).select(F.col("pr").alias("r"), F.col("pq").alias("q"), "text"), "passage-texts")
     inner = _spans(texts, length, sift=False)
     each = kinds.join(inner.select(F.col("r").alias("pr"), F.col("q").alias("pq"), "marks", "starts"), ["pr", "pq"], "left").select("pr", "pq", "n", "marks", "starts")
-    placed = parts.select("pr", "pq", "r", "q", "b", "size").distinct().join(each, ["pr", "pq"])  # rows that are equal have the same parts
+    placed = parts.select("pr", "pq", "r", "q", "b", "size").join(each, ["pr", "pq"])
     marks = F.expr(f"CASE WHEN n = 1 THEN transform(marks, m -> m + (b << {PLACE})) END")
     whole = f"array_append(sequence(0, size - {length}, {length}), size - {length})"
     starts = F.expr(f"transform(CASE WHEN n > 1 THEN {whole} ELSE starts END, s -> cast(s + b AS int))")
-    out = base.written(placed.select("r", "q", marks.alias("marks"), starts.alias("starts")).groupBy("r", "q").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("marks", "starts"))), "spans-longer")
+    out = base.written(placed.select("r", "q", marks.alias("marks"), starts.alias("starts")).groupBy("r", "q").agg(*(F.flatten(F.collect_set(c)).alias(c) for c in ("marks", "starts"))), "spans-longer")  # rows that are equal have the same parts
     base.drop(parts, kinds, texts, inner)
     return out
 

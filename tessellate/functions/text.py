@@ -91,6 +91,8 @@ HOME = r"""(?U)/(?:Users|home)/[^\s\]\[()<>"'，。；：、]+(?:/[^\s\]\[()<>"'
 RELATIVE = r"""(?U)/(?:Users|home)/[^\s/\]\[()<>"'，。；：、]+/%s([^\s\]\[()<>"'，。；：、]*)"""
 #: Counted, never masked.
 SCANNED = PRIVATE | {"local_path": HOME, "institution": "[一-龥]{2,15}(?:医院|卫生院|门诊部|诊所|中医馆|国医馆|医馆|疗养院|康复中心)"}
+#: Changed, and counted then.
+CHANGED = (*PRIVATE, "local_path", "wikilink")
 #: Of what is scanned, what alone doesn't block a corpus.
 MEDIUM = ("name_label", "institution")
 MASK = {"mobile": "[已脱敏手机号]", "id_card": "[已脱敏身份证号]", "email": "[已脱敏邮箱]", "name_label": "$1：[已脱敏姓名]", "medical_record": "$1：[已脱敏病历号]", "address_full": "[已脱敏地址]", "address_label": "$1：[已脱敏地址]"}
@@ -118,7 +120,7 @@ def link_text(inner: Column) -> Column:
     """What stands for a link: its alias, or its title (the file's name) and heading."""
     target, heading = bare(F.substring_index(inner, "#", 1)), bare(F.regexp_extract(inner, "(?s)^[^#]*#(.*)$", 1))
     file = F.coalesce(F.try_element_at(F.filter(F.split(target, "/"), lambda x: ~x.isin("", ".")), F.lit(-1)), F.lit(""))
-    title = F.regexp_replace(file, r"(?i)\.md$", "")
+    title = F.regexp_replace(file, r"(?i)\.md\z", "")
     named = F.when(heading == "", F.when(title == "", inner).otherwise(title)).when(title == "", heading).otherwise(F.concat(title, F.lit(" · "), heading))
     return F.when(F.contains(inner, F.lit("|")), bare(F.substring_index(inner, "|", -1))).otherwise(named)
 

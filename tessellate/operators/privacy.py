@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MEDIUM, SCANNED, transformations
+from ..functions.text import CHANGED, MEDIUM, SCANNED, transformations
 
 MASKED = r"\[已脱敏[^\]]*\]"
 
@@ -31,5 +31,6 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def changes(files: DataFrame, text: str = "body", mail: str | None = None) -> DataFrame:
-    """(pattern, count): matches over all files before anything is changed."""
-    return files.select(F.explode(transformations(F.coalesce(F.col(text), F.lit("")), mail)).alias("pattern", "n")).groupBy("pattern").agg(F.sum("n").alias("count"))
+    """(pattern, count) for every pattern: matches over all files before anything is changed. An empty table has all counts 0."""
+    sums = files.select(transformations(F.coalesce(F.col(text), F.lit("")), mail).alias("m")).agg(*(F.coalesce(F.sum(F.col("m")[k]), F.lit(0)).alias(k) for k in CHANGED))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(k).alias("pattern"), F.col(k).alias("count")) for k in CHANGED))))

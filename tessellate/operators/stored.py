@@ -15,6 +15,7 @@ have the longest lists, are then read for the documents that are left. Nothing t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ BUCKETS = 64
 BLOCK = 64
 #: Blocks that a query visits first, and the share of the score to beat that tokens read last may add up to.
 FIRST, LIGHT = 4, 0.5
+#: Tokens (repeats counted) whose postings one task of the writing takes, about: what it sorts doesn't grow with the corpus.
+TASK_TOKENS = 1 << 21
 #: Rounding to four places can lift a score by so much.
 HALF = 0.00005 + 1e-9
 FORWARD, POSTINGS, TERMS, CORPUS = "forward", "postings", "terms", "corpus"
@@ -48,19 +51,21 @@ def write(docs: DataFrame, path: str, settings: Retrieval = Retrieval(), least_d
     if shared.exists(spark, path):
         raise FileExistsError(path)
     made = f"{path}-{shared.place(spark, 'making').rsplit('-', 1)[1]}"
-    rows = retrieval.counted(retrieval.spread_out(docs.select(key, text, *by)), words(F.col(text)), key, *by).withColumnRenamed(key, "doc")
-    # shuffled to an order first, numbered where they lie then: numbers are read from the table, so they never change
-    ordered = rows.repartitionByRange(*by, "dl", "doc").sortWithinPartitions(*by, "dl", "doc")
-    ordered.select(F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block"), "doc", "dl", "tf").write.parquet(f"{made}/{FORWARD}")
+    tokens = F.coalesce(words(F.col(text)), F.array().cast("array<string>"))
+    rows = retrieval.spread_out(docs.select(F.col(key).alias("doc"), text, *by)).withColumn("_dl", F.size(tokens))
+    # shuffled to an order first, as texts, which are less than their counted tokens; numbered where they lie then: numbers are read
+    # from the table, so they never change
+    ordered = rows.repartitionByRange(*by, "_dl", "doc").sortWithinPartitions(*by, "_dl", "doc")
+    retrieval.counted(ordered, tokens, "doc").select(F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block"), "doc", "dl", "tf").write.parquet(f"{made}/{FORWARD}")
     forward = spark.read.parquet(f"{made}/{FORWARD}")
     total = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
     total.select("n", "total", F.coalesce(four_places(F.try_divide("total", "n")), F.lit(0.0)).alias("avgdl"), F.lit(settings.k1).alias("k1"), F.lit(settings.b).alias("b")).coalesce(1).write.parquet(f"{made}/{CORPUS}")
-    avgdl = spark.read.parquet(f"{made}/{CORPUS}").first().avgdl
+    corpus = spark.read.parquet(f"{made}/{CORPUS}").first()
     dealt = forward.select("block", "doc", "dl", F.explode_outer("tf").alias("t")).select("block", "doc", "dl", "t.token", "t.tf").filter("token IS NOT NULL")
     # a bucket is dealt to as many tasks as there are for it, so that no token's list is one task of many
-    parts = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), corpus.total // TASK_TOKENS)
     dealt = dealt.withColumns({"bucket": bucket(F.col("token")), "slice": F.pmod(F.xxhash64("block"), F.lit(-(-parts // BUCKETS)))})
-    weight = retrieval.term_weight(settings, F.lit(avgdl))
+    weight = retrieval.term_weight(settings, F.lit(corpus.avgdl))
     # one shuffle for the groups and for the files
     lists = dealt.repartition(parts, "bucket", "slice").groupBy("bucket", "slice", "token", "block").agg(F.max(weight).alias("most"), F.count("*").alias("held"), F.collect_list(F.struct("doc", "tf", "dl")).alias("docs"))  # BLOCK documents at most
     lists.drop("slice").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{made}/{POSTINGS}")
@@ -93,6 +98,10 @@ class Index:
 
     def hits(self, queries: DataFrame) -> DataFrame:
         """(query_id, asked, token, block, idf, most, held, docs): the posting rows of each query's tokens, from their buckets alone."""
+        return self._read(queries)()
+
+    def _read(self, queries: DataFrame) -> Callable[..., DataFrame]:
+        """What gives hits; of the tables that it takes (tokens or blocks, pairs of a query) only those that any query names are read on."""
         asked = self.asked(queries)
         some = asked.agg(F.count("*").alias("n"), F.collect_set("bucket").alias("buckets"), F.min("token").alias("low"), F.max("token").alias("high")).first()  # BUCKETS numbers
         here = F.col("bucket").isin(some.buckets) & F.col("token").between(some.low or "", some.high or "")
@@ -102,11 +111,19 @@ class Index:
         heavy = self.part(TERMS).filter(here).join(small(asked), ["bucket", "token"]).crossJoin(F.broadcast(corpus.select("n")))  # one row
         asking = heavy.select("query_id", "asked", "bucket", "token", idf.alias("idf"))
         posts = self.part(POSTINGS).filter(here)
-        if some.n > retrieval.BROADCAST_ROWS:
-            return posts.join(asking, ["bucket", "token"])
-        # lists are dealt by block before they meet each query of their token: what leaves a task is a list, once, and no posting
-        posts = posts.join(F.broadcast(asking.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi")
-        return posts.repartition("block").join(F.broadcast(asking), ["bucket", "token"])
+        named = asked.select("bucket", "token").distinct()
+
+        def of(*only: DataFrame) -> DataFrame:
+            lists = posts
+            for few in only:
+                lists = _of(lists, few.distinct(), *few.columns, how="left_semi")
+            if some.n > retrieval.BROADCAST_ROWS:
+                return lists.join(asking, ["bucket", "token"])
+            # lists are dealt by block before they meet each query of their token: what leaves a task is a list, once, and no posting
+            lists = lists.join(F.broadcast(named), ["bucket", "token"], "left_semi")
+            return lists.repartition("block").join(F.broadcast(asking), ["bucket", "token"])
+
+        return of
 
     def scored(self, hits: DataFrame, settings: Retrieval) -> DataFrame:
         """(query_id, doc_id, score, terms) of the documents of hits that hold min_terms of a query's tokens or more.
@@ -128,30 +145,32 @@ class Index:
         kept = self.part(CORPUS).first()
         if (kept.k1, kept.b) != (settings.k1, settings.b):
             raise ValueError(f"the index was written for k1={kept.k1}, b={kept.b}")
-        hits = self.hits(queries)
+        read = self._read(queries)
         by_query = Window.partitionBy("query_id")
-        rows = shared.written(hits.select("query_id", "asked", "token", "block", (F.col("idf") * F.col("most")).alias("most"), "held"), "heads")
+        rows = shared.written(read().select("query_id", "asked", "token", "block", (F.col("idf") * F.col("most")).alias("most"), "held"), "heads")
         sums = rows.groupBy("query_id", "block").agg(F.sum("most").alias("bound"), F.count("*").alias("n"), F.first("asked").alias("asked"))
         live = sums.filter(F.col("n") >= F.least(F.lit(settings.min_terms), F.col("asked"))).select("query_id", "block", "bound")
         placed = live.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("bound"), "block")))
         first = shared.written(placed.filter(F.col("place") <= FIRST).select("query_id", "block"), "first")
-        best = shared.written(retrieval.best(self.scored(_of(hits, first, "query_id", "block"), settings), limit), "best")
+        best = shared.written(retrieval.best(self.scored(_of(read(first.select("block")), first, "query_id", "block"), settings), limit), "best")
         # queries with fewer rows so far have nothing to beat
         beat = best.filter(F.col("rank") == limit).select("query_id", (F.col("score") - HALF).alias("beat"))
         tokens = rows.groupBy("query_id", "token").agg(F.max("most").alias("most")).join(beat, "query_id", "left")
-        light = F.sum("most").over(by_query.orderBy("most", "token"))  # the tokens of one query
-        split = tokens.withColumn("light", F.coalesce(light <= LIGHT * F.col("beat"), F.lit(False)))
+        sums = F.sum("most").over(by_query.orderBy("most", "token"))  # the tokens of one query
+        split = tokens.withColumn("light", F.coalesce(sums <= LIGHT * F.col("beat"), F.lit(False)))
         split = split.withColumn("rest", F.coalesce(F.sum(F.when(F.col("light"), F.col("most"))).over(by_query), F.lit(0.0)))
         split = shared.written(split.select("query_id", "token", "beat", "light", "rest"), "split")
         later = live.join(beat, "query_id", "left").filter(F.col("beat").isNull() | (F.col("bound") >= F.col("beat"))).select("query_id", "block")
         later = shared.written(later.join(first, ["query_id", "block"], "left_anti"), "later")
-        near = _of(hits, later, "query_id", "block")
-        heavy = _of(near, split.filter("NOT light"), "query_id", "token")
+        # lists of the blocks and tokens that are asked for, and no others, leave their tasks
+        near = lambda tokens, blocks: _of(read(tokens.select("token"), blocks.select("block")), blocks, "query_id", "block")
+        heavy = _of(near(split.filter("NOT light"), later), split.filter("NOT light"), "query_id", "token")
         avgdl = F.lit(kept.avgdl)
         gain = F.col("idf") * retrieval.term_weight(settings, avgdl)
         part = heavy.select("query_id", "asked", "beat", "rest", "idf", "block", F.inline("docs")).groupBy("query_id", "block", "doc").agg(F.sum(gain).alias("raw"), F.count("*").alias("terms"), *(F.first(c).alias(c) for c in ("asked", "beat", "rest")))
         able = shared.written(part.filter(F.col("beat").isNull() | (F.col("raw") + F.col("rest") >= F.col("beat"))).drop("beat", "rest"), "able")
-        last = _of(_of(near, split.filter("light").select("query_id", "token"), "query_id", "token"), able.select("query_id", "block").distinct(), "query_id", "block")
+        light = split.filter("light").select("query_id", "token")
+        last = _of(near(light, able.select("query_id", "block").distinct()), light, "query_id", "token")
         more = last.select("query_id", "idf", F.inline("docs")).join(able.select("query_id", "doc"), ["query_id", "doc"]).select("query_id", "doc", gain.alias("raw"), F.lit(1).cast("long").alias("terms"), F.lit(None).cast("int").alias("asked"))
         whole = shared.written(able.select("query_id", "doc", "raw", "terms", "asked").unionByName(more).groupBy("query_id", "doc").agg(F.sum("raw").alias("raw"), F.sum("terms").alias("terms"), F.max("asked").alias("asked")), "whole")
         fine = whole.filter(F.col("terms") >= F.least(F.lit(settings.min_terms), F.col("asked"))).select("query_id", F.col("doc").alias("doc_id"), four_places(F.col("raw")).alias("score"), "terms")
@@ -167,6 +186,6 @@ class Index:
         return self.spark.createDataFrame([(scored, total(rows, "held"))], "scored long, held long")
 
 
-def _of(rows: DataFrame, few: DataFrame, *on: str) -> DataFrame:
+def _of(rows: DataFrame, few: DataFrame, *on: str, how: str = "inner") -> DataFrame:
     """rows that meet a row of few (a table, unique in on), which is broadcast if it is small."""
-    return rows.join(F.broadcast(few) if retrieval.small(few) else few, list(on))
+    return rows.join(F.broadcast(few) if retrieval.small(few) else few, list(on), how)
